@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +12,13 @@ import pyarrow.compute as pc
 PAD = 10
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, bounds)``: UTF-8 of all texts (null: empty) and the start of each, with the end of the last."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")

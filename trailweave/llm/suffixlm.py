@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.bytestream import before, grams, pieces, sums
+from trailweave.llm.bytestream import before, grams, pieces, slices, sums
 from trailweave.llm.langid import held_out
 from trailweave.llm.scratch import materialise
 
-DEPTH, P_MIN, GAIN = 5, 1.5e-6, 4.0
+DEPTH, P_MIN, GAIN = 5, 2e-6, 4.0
 FREQUENT = 200_000
 END = 10
 #: Distinct tokens that a task holds before it passes their counts on, and bytes whose contexts it counts at once.
-HELD, CHUNK = 400_000, 1 << 21
+HELD, CHUNK = 200_000, 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -58,7 +58,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
             held.clear()
             return batch
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 held.update(tokens(text))
                 held[b""] += 1
@@ -81,7 +81,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             total = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
             keys[:], counts[:] = [key], [total]
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             data, bounds = byte_stream([tokens(t) for t in batch.column(0).to_pylist()])
             for at, to in pieces(bounds, CHUNK):
                 own = bounds[at : to + 1]
@@ -184,14 +184,14 @@ def build_tree(rows: pd.DataFrame) -> SuffixTree:
         contexts[depth] = np.unique(by[depth][0] >> 8) if depth in by else np.empty(0, np.int64)
         offset[depth], total = total, total + len(contexts[depth])
     child = np.zeros((total + 1, size), np.int32)
-    p = np.zeros((total + 1, size))
+    p = np.zeros((total + 1, size), np.float32)
     floor = np.full(size, 1 / 256)
     for depth in range(DEPTH + 1):
         context = contexts[depth]
         if not len(context):
             continue
         gram, n = by.get(depth, (np.empty(0, np.int64), np.empty(0)))
-        count = np.zeros((len(context), size))
+        count = np.zeros((len(context), size), np.float32)
         if len(gram):
             np.add.at(count, (np.searchsorted(context, gram >> 8), symbol[gram & 255]), n)
         if depth:
@@ -203,7 +203,7 @@ def build_tree(rows: pd.DataFrame) -> SuffixTree:
         kinds, all_n = (count > 0).sum(1, keepdims=True), count.sum(1, keepdims=True)
         p[offset[depth] : offset[depth] + len(context)] = np.where(all_n > 0, (count + kinds * lower) / np.maximum(all_n + kinds, 1), lower)
     p[-1] = 1
-    return SuffixTree(symbol, child, np.log10(p).astype(np.float32))
+    return SuffixTree(symbol, child, np.log10(p, out=p))
 
 
 def train_tree(docs: DataFrame, n_bytes: int) -> SuffixTree:
@@ -221,7 +221,7 @@ def train_tree(docs: DataFrame, n_bytes: int) -> SuffixTree:
 
     # a family has at most as many rows as there are different grams with its two bytes
     family = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
-    return build_tree(gram_counts(docs).groupBy(family.alias("family")).applyInArrow(prune, kind).toPandas())
+    return build_tree(gram_counts(docs).groupBy(family.alias("family")).applyInArrow(prune, kind).toArrow().to_pandas())
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None) -> DataFrame:
@@ -248,7 +248,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
             break
         power, many = p, many + k
     least = 1 << int(power)
-    common = {t.encode(): int(c) for t, c in counts.where(F.col("c") >= least).toPandas().itertuples(index=False)} if many else {}
+    common = {t.encode(): int(c) for batch in counts.where(F.col("c") >= least).toArrow().to_batches() for t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)} if many else {}
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((tree, common))
     rare_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
@@ -257,7 +257,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         tree, common = shared.value
         logs = {t: float(np.log10(c + 0.5)) for t, c in common.items()}
         get = logs.get
-        for batch in batches:
+        for batch in slices(batches):
             lists = [tokens(t) for t in batch.column(1).to_pylist()]
             scores = tree.score(*byte_stream(lists))
             total, known, part, rare = [], [], [], []
