@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words kept by one worker, and the longest of them.
-KEPT, KEPT_CHARS = 300_000, 64
+#: Words that each of a worker's two generations keeps, and the longest of them.
+KEPT, KEPT_CHARS = 350_000, 64
 UNKNOWN_PENALTY = 10.0
 STAND_ALONE = -1
 
@@ -67,10 +67,16 @@ class Pieces:
         self.automaton.make_automaton()
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
         self.words = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+")
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self.unusual = re.compile(f"^ |  |{MARK}|[{alone}]".replace("\n", "")).search
+        self.fast = "\n" in alone
+        self.chars = {c for c in self.id if len(c) == 1}
+        self.raw = [int(i).to_bytes(4, "little") for i in range(n)]
+        self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._kept: dict[str, tuple[bytes, bytes]] = {}
-        self._counts: dict[str, int] = {}
+        self._kept: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+        self._counts: dict[str, int] = {"": 0}
+        self._older_counts: dict[str, int] = {}
         self.lowest = min(self.score[i] for i in normal) - UNKNOWN_PENALTY
 
     # encoding
@@ -90,13 +96,8 @@ class Pieces:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay what they are side by side."""
-        found = self._pairs.get((left, right))
-        if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            a, b = self.text[left], self.text[right]
-            found = self._pairs[left, right] = self.merged(a + b) == [a, b]
-        return found
+        a, b = self.text[left], self.text[right]
+        return self.merged(a + b) == [a, b]
 
     def whole(self, i: int) -> bool:
         """Whether merging the piece's characters gives the piece."""
@@ -105,26 +106,32 @@ class Pieces:
             found = self._whole[i] = self.merged(self.text[i]) == [self.text[i]]
         return found
 
+    def _fits(self, before: int, i: int) -> bool:
+        """Whether piece ``i`` may follow the last token ``before`` of the prefix in front of it."""
+        key = before << 32 | i
+        found = self._pairs.get(key)
+        if found is None:
+            if len(self._pairs) > 2_000_000:
+                self._pairs.clear()
+            found = self._pairs[key] = self.whole(i) and (before == STAND_ALONE or self.compatible(before, i))
+        return found
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one marked word, through the table of its prefixes' last tokens."""
         n = len(word)
         last: list[int | None] = [None] * n
         size = [1] * n
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        for end in range(n):
-            for length, i in ends[end]:
-                start = end - length + 1
-                before = last[start - 1] if start else STAND_ALONE
-                if before is None or not self.whole(i):
-                    continue
-                if before == STAND_ALONE or self.compatible(before, i):
-                    last[end], size[end] = i, length
-                    break
-            else:
-                if word[end] not in self.id:
-                    last[end] = STAND_ALONE
+        if not self.chars.issuperset(word):
+            last = [None if c in self.chars else STAND_ALONE for c in word]
+        known, fits = self._pairs.get, self._fits
+        for end, (length, i) in self.automaton.iter(word):
+            if last[end] is None:
+                start = end - length
+                before = last[start] if start >= 0 else STAND_ALONE
+                if before is not None:
+                    ok = known(before << 32 | i)
+                    if ok or ok is None and fits(before, i):
+                        last[end], size[end] = i, length
         ids: list[int] = []
         end = n - 1
         while end >= 0:
@@ -140,17 +147,32 @@ class Pieces:
         return ids
 
     def marked_words(self, text: str) -> list[str]:
-        """The text with its word marks, cut where no piece can cross."""
-        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
-
-    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """The text with its word marks, cut where no piece can cross; empty strings may stand between."""
+        if not text:
+            return []
+        if self.fast and not self.unusual(text):
+            if "\n" not in text:
+                return (MARK + text.replace(" ", " " + MARK)).split(" ")
+            return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
+        return self.words.findall(MARK + text.replace(" ", MARK))
+
+    def _word(self, word: str) -> bytes:
         ids = self.encode_word(word)
-        pair = np.array(ids, "<u4").tobytes(), self.spelled(ids)
+        if "".join([self.text[i] for i in ids]) != word and self.spelled(ids) != word.replace(MARK, " ").encode():
+            raise AssertionError("a word is not spelled by its ids")
+        raw = b"".join([self.raw[i] for i in ids])
         if len(word) <= KEPT_CHARS:
             if len(self._kept) >= KEPT:
-                self._kept.clear()
-            self._kept[word] = pair
-        return pair
+                self._older, self._kept = self._kept, {"": b""}
+            self._kept[word] = raw
+        return raw
+
+    def _again(self, word: str) -> bytes:
+        raw = self._older.get(word)
+        if raw is None:
+            return self._word(word)
+        self._kept[word] = raw
+        return raw
 
     def spelled(self, ids: list[int]) -> bytes:
         """Bytes of some ids, word marks as spaces."""
@@ -162,11 +184,13 @@ class Pieces:
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """``(ids, decoded)``: ids with begin and end as little-endian unsigned 32-bit numbers."""
-        get, make = self._kept.get, self._word
-        pairs = [get(w) or make(w) for w in self.marked_words(text or "")]
-        ids = b"".join([np.array([self.bos], "<u4").tobytes(), *[p[0] for p in pairs], np.array([self.eos], "<u4").tobytes()])
-        said = b"".join([p[1] for p in pairs]).decode("utf-8", "replace")
-        return ids, said[1:] if said.startswith(" ") else said
+        words = self.marked_words(text or "")
+        get = self._kept.get
+        parts = [get(w) for w in words]
+        if None in parts:
+            parts = [self._again(w) if p is None else p for w, p in zip(words, parts, strict=True)]
+        said = "".join(words).replace(MARK, " ")  # each word is what its ids spell
+        return b"".join([self.raw[self.bos], *parts, self.raw[self.eos]]), said[1:]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; the space that encoding put in front goes."""
@@ -180,34 +204,46 @@ class Pieces:
         n = len(word)
         best: list[float | None] = [0.0] + [None] * n
         count = [0] * (n + 1)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        for end in range(n):
-            got, tokens, single = None, 0, False
-            for length, i in sorted(ends[end], reverse=True):  # the earliest start first: it stays on a tie
-                single |= length == 1
-                if (was := best[end - length + 1]) is not None and (got is None or was + self.score[i] > got):
-                    got, tokens = was + self.score[i], count[end - length + 1] + 1
-            if not single and best[end] is not None and (got is None or best[end] + self.lowest > got):
-                got, tokens = best[end] + self.lowest, count[end] + len(word[end].encode())
-            best[end + 1], count[end + 1] = got, tokens
+        at, score, whole = 0, self.score, self.chars.issuperset(word)
+
+        def alone(end: int) -> None:
+            """A character outside the vocabulary; one inside it has a piece, so that nothing is lost by that."""
+            if word[end] not in self.chars and best[end] is not None:
+                got = best[end] + self.lowest
+                if best[end + 1] is None or got > best[end + 1]:
+                    best[end + 1], count[end + 1] = got, count[end] + len(word[end].encode())
+
+        for end, (length, i) in self.automaton.iter(word):  # at one end the longest first: it stays on a tie
+            if not whole:
+                while at < end:
+                    alone(at)
+                    at += 1
+            was = best[end - length + 1]
+            if was is not None:
+                got = was + score[i]
+                if best[end + 1] is None or got > best[end + 1]:
+                    best[end + 1], count[end + 1] = got, count[end - length + 1] + 1
+        if not whole:
+            for end in range(at, n):
+                alone(end)
         return count[n]
 
     def count(self, text: str | None) -> int:
         """Unigram tokens of a text, without begin and end."""
-        counts, total = self._counts, 0
-        get = counts.get
-        for word in self.marked_words(text or ""):
-            n = get(word)
-            if n is None:
-                n = self.count_word(word)
-                if len(word) <= KEPT_CHARS:
-                    if len(counts) >= KEPT:
-                        counts.clear()
-                    counts[word] = n
-            total += n
-        return total
+        words = self.marked_words(text or "")
+        get = self._counts.get
+        found = [get(w) for w in words]
+        if None in found:
+            for k, n in enumerate(found):
+                if n is None:
+                    word = words[k]
+                    n = self._older_counts.get(word)
+                    found[k] = n = self.count_word(word) if n is None else n
+                    if len(word) <= KEPT_CHARS:
+                        if len(self._counts) >= KEPT:
+                            self._older_counts, self._counts = self._counts, {"": 0}
+                        self._counts[word] = n
+        return sum(found)
 
 
 @lru_cache(maxsize=2)
@@ -228,8 +264,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces_of(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 got = [table.encode(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()),
