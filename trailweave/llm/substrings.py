@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.bytestream import slices
 from trailweave.llm.scratch import materialise
 
 WINDOW, GRAM = 50, 16
@@ -106,7 +107,7 @@ def scan(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             n, sha, parts = [], [], []
             for text in batch.column(2).to_pylist():
                 words = split_words(text)
@@ -129,12 +130,12 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     slot = F.pmod(F.xxhash64("id", "th"), F.lit(FILTER_BITS)).cast("int")
     # at most FILTER_BITS numbers, whatever the corpus
     taken = np.zeros(FILTER_BITS, bool)
-    taken[wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(int)] = True
+    taken[wanted.select(slot.alias("slot")).distinct().toArrow().to_pandas()["slot"].to_numpy(int)] = True
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(there[batch.column(3).to_numpy()])).drop_columns(["slot"])
 
     near = rows.select("id", "th", "text", slot.alias("slot")).mapInArrow(run, "id long, th long, text string")
@@ -147,7 +148,7 @@ def window_hashes(rows: DataFrame, pending: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for batch in batches:
+        for batch in slices(batches):
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for k, (text, parts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 s = np.concatenate([np.arange(p["lo"], p["hi"] + 1) for p in parts])
@@ -166,7 +167,7 @@ def without(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     wanted = ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             n, sha, kept = [], [], []
             for text, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = split_words(text)
@@ -261,6 +262,7 @@ class FingerprintIndex:
             texts = texts.unionByName(self.rows)
         windows = materialise(window_hashes(texts, pending), "window-hashes")
         first = windows.groupBy("h", "w").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+        first = materialise(first, "repeated")  # by itself, so that a window of very many documents can be split in the join
         again = windows.join(first, ["h", "w"]).where("first < id").select("id", "th", F.col("s").alias("lo"), F.col("s").alias("hi"))
         whole = met.where("first < id").select("id", "th", "lo", "hi")
         ranges = materialise(whole.unionByName(again), "ranges")
