@@ -192,7 +192,7 @@ def near_duplicates(
     n, pivots = classes.count(), {}
     wanted = min(MAX_PIVOTS, max(1, n // PER_PIVOT))
     for (dim,) in classes.select("dim").distinct().collect():
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("v")).limit(PIVOT_SAMPLE).select("v").toPandas()
+        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("v")).limit(PIVOT_SAMPLE).select("v").toArrow().to_pandas()
         pivots[dim] = choose_pivots(_unit(np.array(sample["v"].tolist(), np.float64).reshape(-1, dim)), wanted)
     found = materialise(range_join(classes, threshold, pivots), "vector-links")
     counts = found.where("other is null").groupBy("cls").agg(F.sum("mult").alias("far"))

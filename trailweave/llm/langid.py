@@ -132,7 +132,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> ContextTrees:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    return build_trees(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
+    return build_trees(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas())
 
 
 def recognise(model: ContextTrees, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

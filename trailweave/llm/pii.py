@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.bytestream import slices
 from trailweave.llm.scratch import materialise, split_by_key
 
 KINDS = ("email", "ip", "card", "phone")
@@ -125,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             spans = [base_spans(t) for t in texts]
             counts = [Counter(k for k, _, _ in s) for s in spans]
@@ -156,19 +157,19 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text"
     spark = docs.sparkSession
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sorted({_slot(t) for t in batch.column(0).to_pylist()}), pa.int32())], ["slot"])
 
     # at most FILTER_BITS numbers, whatever the corpus
     taken = np.zeros(FILTER_BITS, bool)
-    taken[words.mapInArrow(slots, "slot int").distinct().toPandas()["slot"].to_numpy(int)] = True
+    taken[words.mapInArrow(slots, "slot int").distinct().toArrow().to_pandas()["slot"].to_numpy(int)] = True
     shared = spark.sparkContext.broadcast(np.packbits(taken))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(shared.value).astype(bool)
         some = bool(there.any())
         known: dict[str, bool] = {}
-        for batch in batches:
+        for batch in slices(batches):
             count: Counter = Counter()
             for text in batch.column(0).to_pylist() if some else []:
                 for term in set(_TERM.findall((text or "").lower())):

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.bytestream import slices
 from trailweave.llm.langid import held_out
 
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in slices(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = {f for t in set(_TOKEN.findall((text or "").lower())) for f in features(t)}
                 tally[toxic].update([*found, ""])  # "" counts the documents
@@ -208,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
     counted = sample.mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )
-    kept = counted.where((F.col("t") >= MIN_DOCS) | (F.col("f") == "")).toPandas()
+    kept = counted.where((F.col("t") >= MIN_DOCS) | (F.col("f") == "")).toArrow().to_pandas()
     every = kept[kept["f"] == ""]
     nt, nc = (int(every["t"].sum()), int(every["c"].sum())) if len(every) else (0, 0)
     kept = kept[(kept["f"] != "") & ((kept["t"] + 0.5) / max(nt, 1) >= RATIO * (kept["c"] + 0.5) / max(nc, 1))]
@@ -217,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = {f[1:5] for f in wanted.value}
-        for batch in batches:
+        for batch in slices(batches):
             found = set()
             for text in batch.column(0).to_pylist():
                 tokens = ["", *_TOKEN.findall((text or "").lower()), ""]
@@ -227,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
                         found.update((f, near) for f in features(token) if f in wanted.value)
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([x for _, x in found], pa.int64())], ["f", "near"])
 
-    places = sample.where("toxic = 1").select("text").mapInArrow(around, "f string, near long").groupBy("f").agg(F.countDistinct("near").alias("k")).toPandas()
+    places = sample.where("toxic = 1").select("text").mapInArrow(around, "f string, near long").groupBy("f").agg(F.countDistinct("near").alias("k")).toArrow().to_pandas()
     kept = kept.merge(places, on="f")
     kept = kept[kept["k"] >= np.maximum(MIN_DOCS, np.maximum(DOC_SHARE * nt, OWN_SHARE * kept["t"]))]
     names = distinct_features({f: (t, c) for f, t, c in zip(kept["f"], kept["t"], kept["c"], strict=True)})
@@ -239,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, empty = shared.value, 0
         starts = {f[1:5] for f in number}
-        for batch in batches:
+        for batch in slices(batches):
             rows, marks = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = _TOKEN.findall((text or "").lower())
@@ -254,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), pa.array([1] * len(rows), pa.int64())], ["w", "y", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([[0] * KINDS * SPAN], pa.list_(pa.int32())), pa.array([[0] * SPAN], pa.list_(pa.int32())), pa.array([empty], pa.int64())], ["w", "y", "n"])
 
-    got = sample.mapInArrow(cut, "w array<int>, y array<int>, n long").groupBy("w", "y").agg(F.sum("n").alias("n")).where("n > 0").toPandas()
+    got = sample.mapInArrow(cut, "w array<int>, y array<int>, n long").groupBy("w", "y").agg(F.sum("n").alias("n")).where("n > 0").toArrow().to_pandas()
     # a fixed order, so that sums and weights do not depend on the order of arrival
     got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got["w"][i]), list(got["y"][i])))]
     windows = np.array([list(w) for w in got["w"]], np.int64).reshape(-1, SPAN, KINDS)
@@ -267,7 +268,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [shared.value.tag(t) for t in batch.column("text").to_pylist()]
             spans = [[{"start": s, "end": e, "p": p} for s, e, p in spans] for _, spans in got]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s for s, _ in got], pa.float64()), pa.array(spans, kind)], ["id", "score", "spans"])
