@@ -1,0 +1 @@
+"""DataFrame operators over tracks, grids, weather and walks."""
