@@ -148,6 +148,7 @@ def sector_masks(D: int, S: int) -> np.ndarray:
     return out / out.sum(0)
 
 
+@lru_cache(maxsize=1024)
 def kernels_of(p: KernelParams, kappa: float = 2.0) -> np.ndarray:
     """The kernels of a class, one for each direction."""
     if p.is_brownian:

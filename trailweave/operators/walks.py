@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -75,16 +76,21 @@ def weather_field(
     index = base.classes(0) * grid * grid + cell
     used, local = np.unique(index, return_inverse=True)
     local = local.reshape(index.shape)
-    made: dict[int, list[np.ndarray]] = {}
+    made: dict[int, tuple[list[np.ndarray], np.ndarray]] = {}
 
-    def at(t: int) -> list[np.ndarray]:
+    def of(t: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The different kernels of an hour, and which of them each cell has."""
         hour = hours[t] if full_influence else hours[0]
         if hour not in made:
             now = [(order[k // (grid * grid)], weather.get((hour, k % (grid * grid) // grid, k % grid))) for k in used.tolist()]
-            made[hour] = [kernels_of(resolver(mapping[c], v) if v else mapping[c]) for c, v in now]
+            params = [replace(resolver(mapping[c], v) if v else mapping[c], forbidden=False) for c, v in now]
+            kinds = list(dict.fromkeys(params))
+            if len(made) > 4:
+                made.clear()
+            made[hour] = [kernels_of(p) for p in kinds], np.array([kinds.index(p) for p in params])[local]
         return made[hour]
 
-    return Field(w, h, at(0), lambda t: local, base.open, still=not full_influence, at=at)
+    return Field(w, h, of(0)[0], lambda t: of(t)[1], base.open, still=not full_influence, at=lambda t: of(t)[0])
 
 
 def by_weather(params: KernelParams, weather: tuple) -> KernelParams:
