@@ -283,7 +283,9 @@ class FingerprintIndex:
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """All of ``docs`` through a new index, in batches of ascending ids; columns as ``FingerprintIndex.add``."""
-    cuts = docs.select(F.col(id_col).cast("long").alias("id")).stat.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)
+    shares = [k / batches for k in range(1, batches)]
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    cuts = sorted(set(ids.stat.approxQuantile("id", shares, 0.01))) if shares else []
     index, out, low = FingerprintIndex(), None, None
     for k in range(len(cuts) + 1):
         part = docs

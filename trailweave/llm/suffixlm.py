@@ -242,7 +242,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     else:
         tree = train_tree(known, n_bytes)
     # the most frequent tokens, by powers of two: never more than FREQUENT
-    power, many = 64, 0
+    power, many = 62, 0
     for p, k in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("c")).alias("p")).count().collect()), reverse=True):
         if many + k > FREQUENT:
             break
