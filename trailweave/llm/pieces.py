@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -30,9 +29,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailweave.llm.bytestream import held
+
 MARK = "▁"
 #: Words that each of a worker's two generations keeps, and the longest of them.
-KEPT, KEPT_CHARS = 350_000, 64
+KEPT, KEPT_CHARS = 180_000, 64
 UNKNOWN_PENALTY = 10.0
 STAND_ALONE = -1
 
@@ -111,7 +112,7 @@ class Pieces:
         key = before << 32 | i
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 400_000:
                 self._pairs.clear()
             found = self._pairs[key] = self.whole(i) and (before == STAND_ALONE or self.compatible(before, i))
         return found
@@ -246,10 +247,9 @@ class Pieces:
         return sum(found)
 
 
-@lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
-    """One table for each worker process and model."""
-    return Pieces(path)
+    """The worker's table of a model."""
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, outputs: bool = True) -> DataFrame:
@@ -286,9 +286,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces_of(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([table.count(t) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"]
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([table.count(t) for t in part.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"]
+                )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "id long, n_tokens long"
