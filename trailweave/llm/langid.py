@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.bytestream import before, grams, pieces, stream, sums
+from trailweave.llm.bytestream import before, grams, pieces, release, stream, sums
 
 ORDER = 3
 #: Documents of a language to train on, and the languages that one model takes at most.
@@ -154,6 +154,7 @@ def predict(docs: DataFrame, trees: ContextTrees) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names, score, bits = recognise(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(score), pa.array(bits)], ["id", "lang_pred", "score", "bits"])
@@ -190,6 +191,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(train(named, train_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
         for batch in batches:
             texts = batch.column(text_col)

@@ -27,6 +27,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Whole texts go to Python workers in batches of ``rows`` rows, unless the session asks for some other number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
     spark = df.sparkSession
