@@ -33,7 +33,7 @@ from trailweave.llm.bytestream import held
 
 MARK = "▁"
 #: Words that each of a worker's two generations keeps, and the longest of them.
-KEPT, KEPT_CHARS = 180_000, 64
+KEPT, KEPT_CHARS = 120_000, 64
 UNKNOWN_PENALTY = 10.0
 STAND_ALONE = -1
 
