@@ -18,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -95,13 +96,16 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     out = []
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\s]+", text)]
     starts = [w[0] for w in words]
+    order = sorted((s, e) for _, s, e in spans)
+    froms, reach = [s for s, _ in order], list(accumulate((e for _, e in order), max))
+    inside = lambda a, b: (k := bisect_left(froms, b)) > 0 and reach[k - 1] > a
     for kind, s, e in spans:
         k, end = bisect_left(starts, s + 1) - 1, bisect_left(starts, e)
         lo, hi = words[max(0, k - WINDOW)][0], words[min(len(words), end + WINDOW) - 1][1]
         terms = [
             (m[0].lower(), lo + m.start(), lo + m.end())
             for m in _TERM.finditer(text[lo:hi])
-            if not any(lo + m.start() < b and a < lo + m.end() for _, a, b in spans)
+            if not inside(lo + m.start(), lo + m.end())
         ]
         value = text[s:e].lower() if kind == "email" else text[s:e] if kind == "ip" else _digits(text[s:e])
         out.append({
