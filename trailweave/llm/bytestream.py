@@ -25,15 +25,21 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     return _HELD[key]
 
 
+def trim() -> None:
+    """Give memory that is free inside the worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # no such call in this C library
+
+
 def release() -> None:
     """Drop what the worker keeps and give its memory back."""
     if _HELD:
         _HELD.clear()
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # no such call in this C library
+    trim()
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -42,6 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
 
 
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
