@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.bytestream import slices
-from trailweave.llm.scratch import materialise
+from trailweave.llm.scratch import discard, materialise
 
 WINDOW, GRAM = 50, 16
 #: Runs of a level before they are compacted, and batches that the query adds.
@@ -266,9 +266,11 @@ class FingerprintIndex:
         again = windows.join(first, ["h", "w"]).where("first < id").select("id", "th", F.col("s").alias("lo"), F.col("s").alias("hi"))
         whole = met.where("first < id").select("id", "th", "lo", "hi")
         ranges = materialise(whole.unionByName(again), "ranges")
+        for read in (unlike, met, windows, first):
+            discard(read)
         changed = without(rows.where("id is not null"), ranges).dropDuplicates(["id", "th"])
         new = mine.join(classes, ["h", "g"]).where("id = first").select("h", "g", "id", "th", "lo", "hi")
-        self._waiting = new
+        self._waiting, self._classes = new, classes
         self.rows = rows.where("id is not null").select("id", "th", "text") if self.rows is None else self.rows.unionByName(
             rows.where("id is not null").select("id", "th", "text")
         )
@@ -279,6 +281,7 @@ class FingerprintIndex:
     def commit(self) -> None:
         """Write the run of the batch added last; without it the batch is in no run."""
         self.compact(self._waiting)
+        discard(self._classes)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
