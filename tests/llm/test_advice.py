@@ -1,0 +1,13 @@
+"""What the review of the first round found to be less than the whole job."""
+
+import pandas as pd
+
+from trailweave.llm import suffixlm
+
+
+def test_lm_context_of_three_in_two_million(spark):
+    """A context of the share 1.5e-6 becomes a state."""
+    docs = spark.createDataFrame(pd.DataFrame({"text": ["xq zzzzzy"] * 3 + [f"word {k}" for k in range(50)]}))
+    with_rare = suffixlm.train_tree(docs, 2_000_000)
+    without = suffixlm.train_tree(docs, 2_700_000)
+    assert len(with_rare.child) > len(without.child)
