@@ -1,13 +1,46 @@
 """What the review of the first round found to be less than the whole job."""
 
+import math
+
+import numpy as np
 import pandas as pd
 
 from trailweave.llm import suffixlm
+from trailweave.llm.bytestream import grams
+
+
+def whole_tree(texts, least):
+    data, bounds = suffixlm.byte_stream([suffixlm.tokens(t) for t in texts])
+    key, n = np.unique(grams(data, bounds, suffixlm.DEPTH), return_counts=True)
+    family = (key >> 8) & 0xFFFF
+    parts = [pd.DataFrame({"depth": d, "gram": g, "n": c}) for f in np.unique(family) for d, (g, c) in suffixlm.retained(key[family == f], n[family == f], least).items()]
+    return suffixlm.build_tree(pd.concat(parts))
+
+
+def lm_frame(spark, filler):
+    rows = [(k, "xq zzzzzy") for k in range(3)] + [(10 + k, f"the word {k % 97} of the other words {k % 89}") for k in range(filler)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), [t for _, t in rows]
+
+
+def test_lm_context_of_three_is_a_state_in_any_corpus(spark):
+    """2.2 MB of training text: a share of 1.5e-6 or more of it would be four occurrences."""
+    frame, texts = lm_frame(spark, 66_000)
+    assert sum(len(t) + 1 for t in texts) * 1.5e-6 > 3
+    got = {r.id: r.score for r in suffixlm.score(frame).where("id < 3").collect()}
+    fine, coarse = (whole_tree(texts, least).score(*suffixlm.byte_stream([suffixlm.tokens(texts[0])]))[0] for least in (2.0, 3.2))
+    assert abs(fine - coarse) > 1e-3
+    assert all(math.isclose(v, fine, rel_tol=1e-4) for v in got.values()) and len(got) == 3
+
 
+def test_lm_slices_score_as_the_whole_tree(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(suffixlm, "SLICE", 1 << 16)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    training = [t for k, t in rows if k % 3]
+    tree = whole_tree(training, float(suffixlm.LEAST))
+    want = dict(zip((k for k, _ in rows), tree.score(*suffixlm.byte_stream([suffixlm.tokens(t) for _, t in rows])), strict=True))
+    from pyspark.sql import functions as F
 
-def test_lm_context_of_three_in_two_million(spark):
-    """A context of the share 1.5e-6 becomes a state."""
-    docs = spark.createDataFrame(pd.DataFrame({"text": ["xq zzzzzy"] * 3 + [f"word {k}" for k in range(50)]}))
-    with_rare = suffixlm.train_tree(docs, 2_000_000)
-    without = suffixlm.train_tree(docs, 2_700_000)
-    assert len(with_rare.child) > len(without.child)
+    got = {r.id: r.score for r in suffixlm.score(docs, training=F.col("doc_id") % 3 != 0).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[k], want[k], rel_tol=1e-4) for k in want)

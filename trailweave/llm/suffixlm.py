@@ -2,12 +2,17 @@
 
 The tree models the bytes of a text's tokens, joined by one space and ended
 by one end mark.  A context of up to ``DEPTH`` bytes becomes a state when it
-makes up the share ``P_MIN`` of all training contexts and its next-symbol
+occurs ``LEAST`` times in training, whatever the corpus, and its next-symbol
 distribution diverges from that of its longest proper suffix by ``GAIN``
 bits in all (or a longer state needs it).  Distributions are smoothed with
 the suffix's, each weighted by the number of different symbols seen; a text
-is scored by the longest suffix state at each byte.  ``P_MIN`` bounds the
-tree at ``DEPTH / P_MIN`` states for any corpus, so it can be broadcast.
+is scored by the longest suffix state at each byte.
+
+The states grow with the corpus, so they are never in one place: texts are
+cut into slices, the different grams of the slices get their probabilities
+in the families whose states they need, and a join brings them back to the
+slices.  Only the counts of single bytes after one byte (65536 at most) are
+broadcast.
 
 The unigram base is counted exactly over all tokens.  Counts of the most
 frequent ``FREQUENT`` tokens at most are broadcast; every other token of a
@@ -23,18 +28,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.bytestream import before, grams, pieces, slices, sums
+from trailweave.llm.bytestream import before, grams, pieces, slices, sums, trim
 from trailweave.llm.langid import held_out
-from trailweave.llm.scratch import materialise
+from trailweave.llm.scratch import discard, materialise
 
-DEPTH, P_MIN, GAIN = 5, 1.5e-6, 4.0
+DEPTH, LEAST, GAIN = 5, 2, 4.0
 FREQUENT = 200_000
 END = 10
 #: Distinct tokens that a task holds before it passes their counts on, and bytes whose contexts it counts at once.
 HELD, CHUNK = 200_000, 1 << 21
+#: Bytes of texts that meet the probabilities of their grams at once.
+SLICE = 16 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -69,33 +77,65 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """``text`` -> ``(gram, n)``: ``DEPTH`` bytes and the byte after them, with their count."""
+class _Slice:
+    """Texts of one task that follow each other, until they are ``SLICE`` bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
+    def __init__(self, uid: int):
+        self.first, self.texts, self.sizes, self.flags, self.size = uid, [], [], [], 0
 
-        def fold() -> None:
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
-            keys[:], counts[:] = [key], [total]
+    def add(self, words: list[bytes], training: bool) -> None:
+        text = b" ".join(words) + b"\n"
+        self.texts.append(text)
+        self.sizes.append(len(text))
+        self.flags.append(training)
+        self.size += len(text)
 
-        for batch in slices(batches, 1024):
-            data, bounds = byte_stream([tokens(t) for t in batch.column(0).to_pylist()])
-            for at, to in pieces(bounds, CHUNK):
-                own = bounds[at : to + 1]
-                key, n = np.unique(grams(data[own[0] : own[-1]], own - own[0], DEPTH), return_counts=True)
-                keys.append(key)
-                counts.append(n)
-            if sum(map(len, keys)) > 3 * len(keys[0]) + CHUNK:
-                fold()
-        if keys:
-            fold()
-            for at in range(0, len(keys[0]), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[0][at : at + 200_000]) for x in (keys, counts)], ["gram", "n"])
+    def packed(self) -> bytes:
+        head = np.array([self.first, len(self.sizes)], np.int64).tobytes()
+        body = head + np.array(self.sizes, np.int64).tobytes() + np.array(self.flags, np.uint8).tobytes() + b"".join(self.texts)
+        return len(body).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(body, asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of a slice's first text, whether each is training text, and their byte stream."""
+    body = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    first, n = np.frombuffer(body, np.int64, 2).tolist()
+    sizes = np.frombuffer(body, np.int64, n, 16)
+    flags = np.frombuffer(body, np.uint8, n, 16 + 8 * n).astype(bool)
+    return first, flags, np.frombuffer(body, np.uint8, offset=16 + 9 * n), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(where, np.concatenate([n for _, n in parts]), len(key)).astype(np.int64)
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+def slice_grams(flags: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different grams of a stream (``DEPTH`` bytes and the byte after them), each with its count in training texts."""
+    parts = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for at, to in pieces(bounds, CHUNK):
+        own = bounds[at : to + 1] - bounds[at]
+        gram = grams(data[bounds[at] : bounds[to]], own, DEPTH)
+        training = np.repeat(flags[at:to], np.diff(own))
+        parts.append(np.unique(gram[training], return_counts=True))
+        other = np.unique(gram[~training])
+        parts.append((other, np.zeros(len(other), np.int64)))
+        if sum(len(k) for k, _ in parts[1:]) > 3 * len(parts[0][0]) + CHUNK:
+            parts = [_folded(parts)]
+    return _folded(parts)
+
+
+def gram_counts(slices_: DataFrame) -> DataFrame:
+    """``(slice, blob)`` -> ``(slice, gram, n)``: each slice's different grams with their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            key, n = slice_grams(*unpacked(batch.column(1)[0].as_py())[1:])
+            for at in range(0, len(key), 200_000):
+                part = key[at : at + 200_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[0].as_py())), pa.array(part), pa.array(n[at : at + 200_000])], ["slice", "gram", "n"])
+
+    return slices_.mapInArrow(run, "slice long, gram long, n long")
 
 
 def _levels(gram: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -165,7 +205,10 @@ class SuffixTree:
 
 
 def build_tree(rows: pd.DataFrame) -> SuffixTree:
-    """A tree from rows ``depth, gram, n``; depth -2 holds all grams of two bytes' context."""
+    """A tree in one place, from rows ``depth, gram, n``; depth -2 holds all grams of two bytes' context.
+
+    The query doesn't make one; it is what the partitioned model is tested with.
+    """
     by = {int(d): (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for d, g in rows.groupby("depth")}
     whole = by.pop(-2, (np.array([], np.int64), np.array([])))
 
@@ -206,22 +249,81 @@ def build_tree(rows: pd.DataFrame) -> SuffixTree:
     return SuffixTree(symbol, child, np.log10(p, out=p))
 
 
-def train_tree(docs: DataFrame, n_bytes: int) -> SuffixTree:
-    """The suffix tree of the rows of ``text``, ``n_bytes`` bytes in all."""
-    least = max(2.0, P_MIN * n_bytes)
-    kind = "depth int, gram long, n long"
+def first_orders(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probabilities of a byte after one byte, by ``byte before << 8 | byte``, from training counts."""
+    count = np.zeros((256, 256))
+    count[pair >> 8, pair & 255] = n
+
+    def smoothed(count: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        kinds, total = (count > 0).sum(1, keepdims=True), count.sum(1, keepdims=True)
+        return np.where(total > 0, (count + kinds * lower) / np.maximum(total + kinds, 1), lower)
+
+    return smoothed(count, smoothed(count.sum(0)[None], np.full((1, 256), 1 / 256))).ravel()
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``keys``, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def log_probabilities(gram: np.ndarray, n: np.ndarray, base: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """log10 probability of each gram's last byte by its longest state; the grams are a family's, ``n`` is 0 for those not in training."""
+    p = base[gram & 0xFFFF]
+    seen = n > 0
+    if seen.any():
+        levels = retained(gram[seen], n[seen], least)
+        for depth in range(2, DEPTH + 1):
+            key, count = levels[depth]
+            if not len(key):
+                break
+            state, where = np.unique(key >> 8, return_inverse=True)
+            total, kinds = np.bincount(where, count), np.bincount(where)
+            own = gram & ((1 << (8 * (depth + 1))) - 1)
+            s, there = _at(state, own >> 8)
+            k, counted = _at(key, own)
+            p = np.where(there, (np.where(counted, count[k], 0) + kinds[s] * p) / (total[s] + kinds[s]), p)
+    return np.log10(p)
 
-    def prune(table: pa.Table) -> pa.Table:
-        kept = retained(table.column("gram").to_numpy(), table.column("n").to_numpy(), least)
-        return pa.table({
-            "depth": pa.array(np.concatenate([np.full(len(k), d, np.int32) for d, (k, _) in kept.items()])),
-            "gram": pa.array(np.concatenate([k for k, _ in kept.values()])),
-            "n": pa.array(np.concatenate([n for _, n in kept.values()])),
-        })
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """``(slice, gram, n)`` -> ``(gram, logp)`` for each different gram."""
+    pairs = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    shared = counts.sparkSession.sparkContext.broadcast(first_orders(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(float)))
+
+    def run(table: pa.Table) -> pa.Table:
+        gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
+        return pa.table({"gram": gram, "logp": log_probabilities(gram, n, shared.value).astype(np.float32)})
 
     # a family has at most as many rows as there are different grams with its two bytes
     family = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
-    return build_tree(gram_counts(docs).groupBy(family.alias("family")).applyInArrow(prune, kind).toArrow().to_pandas())
+    return counts.groupBy("gram").agg(F.sum("n").alias("n")).groupBy(family.alias("family")).applyInArrow(run, "gram long, logp float")
+
+
+def slice_scores(slices_: DataFrame) -> DataFrame:
+    """``(slice, blob)`` -> ``(uid, score)`` for each text."""
+    counts = materialise(gram_counts(slices_), "grams")
+    met = counts.select("slice", "gram").join(gram_scores(counts), "gram")
+
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        key = known.column("gram").to_numpy()
+        order = np.argsort(key)
+        key, logp = key[order], known.column("logp").to_numpy()[order]
+        uids, scores = [np.empty(0, np.int64)], [np.empty(0)]
+        for blob in texts.column("blob"):
+            first, _, data, bounds = unpacked(blob.as_py())
+            uids.append(first + np.arange(len(bounds) - 1))
+            for at, to in pieces(bounds, CHUNK):
+                own = bounds[at : to + 1] - bounds[at]
+                place = np.searchsorted(key, grams(data[bounds[at] : bounds[to]], own, DEPTH))
+                scores.append(sums(logp[place], own))
+        trim()
+        return pa.table({"uid": np.concatenate(uids), "score": np.concatenate(scores)})
+
+    out = slices_.groupBy("slice").cogroup(met.groupBy("slice")).applyInArrow(run, "uid long, score double")
+    found = materialise(out, "slice-scores")
+    discard(counts)
+    return found
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training: Column | None = None) -> DataFrame:
@@ -235,12 +337,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if training is None else training).alias("training"))
     known = rows.where("training").select("text")
     counts = materialise(token_counts(known), "tokens")
-    totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.col("c") * (F.octet_length("token") + 1)).alias("b")).first()
-    n, v, n_bytes = (int(x or 0) for x in totals)
-    if not n_bytes - n:  # nothing but end marks, or no rows at all
-        tree = build_tree(pd.DataFrame({"depth": [], "gram": [], "n": []}))
-    else:
-        tree = train_tree(known, n_bytes)
+    n, v = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("*")).first())
     # the most frequent tokens, by powers of two: never more than FREQUENT
     power, many = 62, 0
     for p, k in sorted(((r[0], r[1]) for r in counts.groupBy(F.floor(F.log2("c")).alias("p")).count().collect()), reverse=True):
@@ -249,41 +346,54 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         power, many = p, many + k
     least = 1 << int(power)
     common = {t.encode(): int(c) for batch in counts.where(F.col("c") >= least).toArrow().to_batches() for t, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)} if many else {}
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((tree, common))
+    shared = docs.sparkSession.sparkContext.broadcast(common)
     rare_type = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())]))
+    types = [*[pa.int64()] * 4, pa.float64(), rare_type]
+    names = ["uid", "id", "n_tokens", "known", "part", "rare", "slice", "blob"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, common = shared.value
-        logs = {t: float(np.log10(c + 0.5)) for t, c in common.items()}
+        logs = {t: float(np.log10(c + 0.5)) for t, c in shared.value.items()}
         get = logs.get
+        uid = TaskContext.get().partitionId() << 33
+        held, done = _Slice(uid), []
+
+        def out(packed: bool) -> pa.RecordBatch:
+            """The rows done; the last of a slice carries all its texts."""
+            blobs = [None] * (len(done) - 1) + [held.packed() if packed else None]
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays([*columns, pa.array([held.first] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
+
         for batch in slices(batches):
-            lists = [tokens(t) for t in batch.column(1).to_pylist()]
-            scores = tree.score(*byte_stream(lists))
-            total, known, part, rare = [], [], [], []
-            for words in lists:
+            for id_, text, training in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held.size >= SLICE:
+                    yield out(True)
+                    held = _Slice(uid)
+                elif len(done) >= 1024:
+                    yield out(False)
+                words = tokens(text)
+                held.add(words, bool(training))
                 words.append(b"")
                 found = [get(w) for w in words]
                 missed = Counter(w for w, x in zip(words, found, strict=True) if x is None) if None in found else {}
-                total.append(len(words))
-                known.append(len(words) - sum(missed.values()))
-                part.append(sum(x for x in found if x is not None))
-                rare.append([{"token": w.decode(), "k": k} for w, k in missed.items()])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, pa.int64()), pa.array(known, pa.int64()), pa.array(part, pa.float64()), pa.array(scores), pa.array(rare, rare_type)],
-                ["id", "n_tokens", "known", "part", "score", "rare"],
-            )
-
-    scanned = rows.select("id", "text").mapInArrow(
-        run, "id long, n_tokens long, known long, part double, score double, rare array<struct<token:string,k:bigint>>"
+                rare = [{"token": w.decode(), "k": k} for w, k in missed.items()]
+                done.append((uid, id_, len(words), len(words) - sum(missed.values()), sum(x for x in found if x is not None), rare))
+                uid += 1
+        if done:
+            yield out(True)
+
+    scanned = rows.select("id", "text", "training").mapInArrow(
+        run, "uid long, id long, n_tokens long, known long, part double, rare array<struct<token:string,k:bigint>>, slice long, blob binary"
     )
-    scanned = materialise(scanned.withColumn("uid", F.monotonically_increasing_id()), "scores")
+    scanned = materialise(scanned, "scores")
+    found = slice_scores(scanned.where("blob is not null").select("slice", "blob"))
+    scanned = scanned.drop("slice", "blob")
     rare = scanned.select("uid", F.explode("rare").alias("r")).select("uid", "r.token", "r.k")
     met = rare.join(counts.where(F.col("c") < least), "token", "left").groupBy("uid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("far"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("met")
     )
     norm = float(np.log10(n + 0.5 * (v + 1)))
-    return scanned.drop("rare").join(met, "uid", "left").select(
+    return scanned.drop("rare").join(found, "uid").join(met, "uid", "left").select(
         "id", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("part") + F.coalesce("far", F.lit(0.0)) - F.col("n_tokens") * norm).alias("base_score"), "score",
     )
