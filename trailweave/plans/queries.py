@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -410,55 +411,59 @@ def bridge_brownian(spark, sf_dir):
     return entry(spark, sf_dir)
 
 
-def _some(spark, sf_dir, width=24, height=24):
-    """One segment for each animal: between two cells that its number gives."""
-    cells = track.animals(fx.fixes(spark, sf_dir))
-    n = "cast(animal_id as bigint)"
-    return cells.selectExpr(
-        "animal_id", "0 as seg", f"cast({n} * 7 % {width} as int) as x0", f"cast({n} * 5 % {height} as int) as y0", f"cast({n} * 11 % {width} as int) as x1", f"cast({n} * 3 % {height} as int) as y1"
-    ).withColumn("T", F.expr(geo.budget("x0", "y0", "x1", "y1")).cast("int"))
+def _gridded(spark, sf_dir):
+    """All segments with the size of their animal's grid."""
+    return _segments(spark, sf_dir).join(_dims(spark, sf_dir).select("animal_id", "width", "height"), "animal_id")
+
+
+class _ByGrid:
+    """A field for each size of grid, made once in a worker."""
+
+    def __init__(self, make):
+        self.make, self.fields = make, {}
+
+    def __call__(self, row):
+        size = int(row["width"]), int(row["height"])
+        if size not in self.fields:
+            self.fields[size] = self.make(*size)
+        return self.fields[size]
+
+    def __getstate__(self):
+        return {"make": self.make, "fields": {}}
+
+
+def _cut(terrain, width, height):
+    """The terrain under an animal's grid; cells beyond it have a class outside the mapping, which is closed."""
+    out = np.full((height, width), -1, terrain.dtype)
+    part = terrain[:height, :width]
+    out[: part.shape[0], : part.shape[1]] = part
+    return out
 
 
 @query()
 def bridge_correlated(spark, sf_dir):
-    return bridge(_some(spark, sf_dir), lambda row: correlated_field(24, 24, 4, 3))
+    return bridge(_gridded(spark, sf_dir), _ByGrid(lambda width, height: correlated_field(width, height, 4, 3)))
 
 
 @query()
 def bridge_biased(spark, sf_dir):
     drift = lambda row: [((-1) ** t, 0) for t in range(row["T"])]
-    return bridge(_some(spark, sf_dir), lambda row: biased_field(24, 24, drift(row), 3))
+    return bridge(_gridded(spark, sf_dir), lambda row: biased_field(int(row["width"]), int(row["height"]), drift(row), 3))
 
 
 @query()
 def bridge_mixed(spark, sf_dir):
     """Through the terrain, water closed; ends in water can't be reached and say so."""
     grid = terrain_array(fx.terrain(spark))
-    return bridge(_some(spark, sf_dir, fx.WIDTH, fx.HEIGHT), _Once(grid))
-
-
-class _Once:
-    """The terrain's field, made once in a worker."""
-
-    def __init__(self, grid):
-        self.grid, self.field = grid, None
-
-    def __call__(self, row):
-        if self.field is None:
-            self.field = terrain_field(self.grid, fx.mapping())
-        return self.field
-
-    def __getstate__(self):
-        return {"grid": self.grid, "field": None}
+    return bridge(_gridded(spark, sf_dir), _ByGrid(lambda width, height: terrain_field(_cut(grid, width, height), fx.mapping())))
 
 
 @query()
 def bridge_time(spark, sf_dir):
-    """Through terrain and hourly weather: one bridge an animal over its first two days."""
+    """Through terrain and hourly weather, each segment over its own time."""
     grid, weather = terrain_array(fx.terrain(spark)), walks.weather_table(fx.weather(spark))
-    spans = track.valid(fx.fixes(spark, sf_dir)).groupBy("animal_id").agg(F.min("ts").alias("ts0")).withColumn("ts1", F.col("ts0") + F.expr("interval 2 days"))
-    rows = _some(spark, sf_dir, fx.WIDTH, fx.HEIGHT).join(spans, "animal_id")
-    return bridge(rows, lambda row: walks.weather_field(grid, fx.mapping(), weather, walks.hours_of(row)))
+    field = lambda row: walks.weather_field(_cut(grid, int(row["width"]), int(row["height"])), fx.mapping(), weather, walks.hours_of(row))
+    return bridge(_gridded(spark, sf_dir), field)
 
 
 @query("select * from (values ('length', 0::bigint), ('start', 0), ('end', 0), ('step', 0), ('outside', 0)) t(kind, violations)")
