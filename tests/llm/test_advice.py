@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 
-from trailweave.llm import suffixlm
+from trailweave.llm import pii, suffixlm
 from trailweave.llm.bytestream import grams
 
 
@@ -44,3 +44,21 @@ def test_lm_slices_score_as_the_whole_tree(spark, sf_dir, monkeypatch):
     got = {r.id: r.score for r in suffixlm.score(docs, training=F.col("doc_id") % 3 != 0).collect()}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k], rel_tol=1e-4) for k in want)
+
+
+def test_disclosing_terms_are_spans_wherever_they_occur(spark):
+    filler = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra".split()
+    rng = np.random.default_rng(6)
+    some = lambda n: " ".join(rng.choice(filler, n))
+    rows = [(k, f"{some(12)} quillfeather {some(2)} q.f@example.org {some(12)} Quillfeather {some(3)}") for k in range(6)]
+    rows += [(6, f"{some(9)} quillfeather {some(9)}"), (None, f"{some(9)} quillfeather")]
+    rows += [(k, f"{some(20)} pennywhistle p.w@example.org {some(20)}") for k in (7, 8)]  # two contexts only
+    rows += [(k, some(30)) for k in range(9, 300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: r for r in pii.find(frame).collect()}
+    for k, text in rows:
+        got = [s.split(":") for s in found[k].spans.split(",") if s.startswith("term")]
+        want = [t for t in text.split() if t.lower() in ("quillfeather", "pennywhistle")]
+        assert [text[int(s) : int(e)] for _, s, e in got] == want
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).where("doc_id is not null").collect()}
+    assert not any("quillfeather" in t.lower() or "pennywhistle" in t for t in clean.values())

@@ -6,10 +6,11 @@ the entity as far as seeing the term tells of it: the pointwise mutual
 information ``log2(N * n(a, t) / (n(a) * n(t)))``, counted in documents of
 the whole corpus, against the entity's information content
 ``log2(N / n(a))``.  Terms that reach the share ``ALPHA`` of it, in
-``SUPPORT`` different contexts at least, are spans of kind ``term`` where
-they stand near the entity; ``sanitise`` removes base spans and generalises
-terms.  Copies of one passage are one context, so repeating a document
-discloses nothing.
+``SUPPORT`` different contexts at least, or in all of an entity that has
+fewer, but in two, are spans of kind ``term`` wherever they occur, in any
+document; ``sanitise`` removes base spans and generalises terms.  Copies of
+one passage are one context, so repeating a document discloses nothing, and
+an entity of one context has no term that could be told from chance.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -91,14 +92,19 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def _inside(spans: list[tuple[str, int, int]]) -> Callable[[int, int], bool]:
+    """Whether a range overlaps one of the spans."""
+    order = sorted((s, e) for _, s, e in spans)
+    froms, reach = [s for s, _ in order], list(accumulate((e for _, e in order), max))
+    return lambda a, b: (k := bisect_left(froms, b)) > 0 and reach[k - 1] > a
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
     """For each mention its entity, a hash of its context and the terms near it."""
     out = []
     words = [(m.start(), m.end()) for m in re.finditer(r"[^\s]+", text)]
     starts = [w[0] for w in words]
-    order = sorted((s, e) for _, s, e in spans)
-    froms, reach = [s for s, _ in order], list(accumulate((e for _, e in order), max))
-    inside = lambda a, b: (k := bisect_left(froms, b)) > 0 and reach[k - 1] > a
+    inside = _inside(spans)
     for kind, s, e in spans:
         k, end = bisect_left(starts, s + 1) - 1, bisect_left(starts, e)
         lo, hi = words[max(0, k - WINDOW)][0], words[min(len(words), end + WINDOW) - 1][1]
@@ -149,6 +155,18 @@ def _slot(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode()) % FILTER_BITS
 
 
+def _taken(words: DataFrame) -> np.ndarray:
+    """The slots of a table of terms; at most FILTER_BITS numbers, whatever the corpus."""
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({_slot(t) for t in batch.column(0).to_pylist()}), pa.int32())], ["slot"])
+
+    taken = np.zeros(FILTER_BITS, bool)
+    taken[words.mapInArrow(slots, "slot int").distinct().toArrow().to_pandas()["slot"].to_numpy(int)] = True
+    return taken
+
+
 def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``(entity, term)`` above the disclosure threshold, counted over all documents."""
     near = scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.entity", "m.context", F.explode("m.terms.term").alias("term"))
@@ -156,25 +174,25 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text"
         F.count("*").alias("contexts")
     )
     together = near.groupBy("entity", "term", "uid").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("nat"))
-    candidates = materialise(shown.where(F.col("contexts") >= support).join(together, ["entity", "term"]).select("entity", "term", "nat"), "candidates")
+    seen = scanned.select(F.explode("mentions").alias("m")).select("m.entity", "m.context").distinct().groupBy("entity").agg(F.count("*").alias("seen"))
+    enough = F.greatest(F.least(F.lit(support), F.col("seen")), F.lit(min(2, support)))
+    candidates = materialise(shown.join(seen, "entity").where(F.col("contexts") >= enough).join(together, ["entity", "term"]).select("entity", "term", "nat"), "candidates")
     words = candidates.select("term").distinct()
-    spark = docs.sparkSession
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(sorted({_slot(t) for t in batch.column(0).to_pylist()}), pa.int32())], ["slot"])
-
-    # at most FILTER_BITS numbers, whatever the corpus
-    taken = np.zeros(FILTER_BITS, bool)
-    taken[words.mapInArrow(slots, "slot int").distinct().toArrow().to_pandas()["slot"].to_numpy(int)] = True
-    shared = spark.sparkContext.broadcast(np.packbits(taken))
+    taken = _taken(words)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there = np.unpackbits(shared.value).astype(bool)
         some = bool(there.any())
         known: dict[str, bool] = {}
+        count: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+            count.clear()
+            return batch
+
         for batch in slices(batches):
-            count: Counter = Counter()
             for text in batch.column(0).to_pylist() if some else []:
                 for term in set(_TERM.findall((text or "").lower())):
                     hit = known.get(term)
@@ -184,7 +202,9 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text"
                         hit = known[term] = bool(there[_slot(term)])
                     if hit:
                         count[term] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
+            if len(count) > 200_000:
+                yield out()
+        yield out()
 
     if not taken.any():
         return candidates.select("entity", "term").limit(0)
@@ -198,6 +218,44 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, text_col: str = "text"
     return scored.where((F.lit(total) > F.col("na")) & (pmi >= alpha * F.log2(F.lit(float(total)) / F.col("na")))).select("entity", "term")
 
 
+def occurrences(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, th, terms)``: where the terms of ``words`` stand in any document, outside base spans."""
+    taken = _taken(words)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
+    places = pa.list_(pa.struct([("term", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+    some = bool(taken.any())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.unpackbits(shared.value).astype(bool)
+        known: dict[str, bool] = {}
+        for batch in slices(batches):
+            out = []
+            for id_, th, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = []
+                for m in _TERM.finditer(text or ""):
+                    hit = known.get(m[0])
+                    if hit is None:
+                        if len(known) > 300_000:
+                            known.clear()
+                        hit = known[m[0]] = bool(there[_slot(m[0].lower())])
+                    if hit:
+                        found.append({"term": m[0].lower(), "s": m.start(), "e": m.end()})
+                if found:
+                    inside = _inside(base_spans(text))
+                    out.append((id_, th, [x for x in found if not inside(x["s"], x["e"])]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), places), strict=True)], ["id", "th", "terms"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs if some else docs.limit(0)
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    where = rows.mapInArrow(run, "id long, th long, terms array<struct<term:string,s:int,e:int>>")
+    return (
+        where.select("id", "th", F.explode("terms").alias("t")).select("id", "th", F.col("t.term").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
+        .join(words, "term", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
+    )
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """``(id, th, n_email, n_ip, n_card, n_phone, base, spans)`` for each row of ``docs``; ``th`` is the text's xxhash64.
 
@@ -206,13 +264,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
     has no spans.  Repeated rows and null ids keep their rows.
     """
     scanned = materialise(scan(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pii")
-    terms = disclosing_terms(docs, scanned, text_col, alpha, support)
-    extra = (
-        scanned.select("uid", F.explode("mentions").alias("m")).select("uid", "m.entity", F.explode("m.terms").alias("t"))
-        .select("uid", "entity", F.col("t.term").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-        .join(terms, ["entity", "term"], "left_semi")
-        .groupBy("uid").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
-    )
+    terms = materialise(disclosing_terms(docs, scanned, text_col, alpha, support).select("term").distinct(), "terms")
+    extra = occurrences(docs, terms, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), "terms")
     base = F.transform(
         F.filter(F.split("base", ","), lambda x: x != ""),
         lambda x: F.struct(
@@ -229,7 +282,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha:
         ),
         ",",
     )
-    return scanned.drop("mentions").join(extra, "uid", "left").select(
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    return scanned.drop("mentions").join(extra, same, "left").select(
         "id", "th", "n_email", "n_ip", "n_card", "n_phone", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(both).alias("spans")
     )
 
