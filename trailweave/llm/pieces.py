@@ -4,7 +4,8 @@ Encoding.  Of a merge-type vocabulary every prefix of a text has one last
 token.  The table stores it: at each place the Aho-Corasick automaton gives
 the pieces that end there, and the one that is compatible with the last
 token of the prefix before it - merging the two pieces' characters gives
-just the two - is entered.  The ids are then read backwards.  No piece
+just the two - is entered.  The ids are then read backwards, and decoding
+reads the text from the ids.  No piece
 crosses from other characters to a word mark, and characters outside the
 vocabulary stand alone, so the table is built for each marked word and kept
 for words that come again.
@@ -74,8 +75,11 @@ class Pieces:
         self.raw = [int(i).to_bytes(4, "little") for i in range(n)]
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
-        self._kept: dict[str, bytes] = {"": b""}
-        self._older: dict[str, bytes] = {}
+        #: What an id says, word marks as spaces; None for a byte's.
+        self.say = [None if i in self.of_byte else "" if i in (self.bos, self.eos) else t.replace(MARK, " ") for i, t in enumerate(self.text)]
+        #: The packed ids of words, and what these ids say.
+        self._kept: dict[str, tuple[bytes, str]] = {"": (b"", "")}
+        self._older: dict[str, tuple[bytes, str]] = {}
         self._counts: dict[str, int] = {"": 0}
         self._older_counts: dict[str, int] = {}
         self.lowest = min(self.score[i] for i in normal) - UNKNOWN_PENALTY
@@ -137,8 +141,8 @@ class Pieces:
         end = n - 1
         while end >= 0:
             i = last[end]
-            if i is None:
-                raise AssertionError("a prefix has no last token")
+            if i is None:  # no token of the table ends here: merge plainly
+                return self.plain(word)
             if i == STAND_ALONE:
                 ids.extend(self.byte[b] for b in reversed(word[end].encode()))
             else:
@@ -147,6 +151,14 @@ class Pieces:
         ids.reverse()
         return ids
 
+    def plain(self, word: str) -> list[int]:
+        """Ids of one marked word by plain merging."""
+        out: list[int] = []
+        for part in self.merged(word):
+            i = self.id.get(part)
+            out += [i] if i is not None else [self.byte[b] for b in part.encode()]
+        return out
+
     def marked_words(self, text: str) -> list[str]:
         """The text with its word marks, cut where no piece can cross; empty strings may stand between."""
         if not text:
@@ -157,45 +169,41 @@ class Pieces:
             return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
         return self.words.findall(MARK + text.replace(" ", MARK))
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> tuple[bytes, str]:
         ids = self.encode_word(word)
-        if "".join([self.text[i] for i in ids]) != word and self.spelled(ids) != word.replace(MARK, " ").encode():
-            raise AssertionError("a word is not spelled by its ids")
-        raw = b"".join([self.raw[i] for i in ids])
+        found = b"".join([self.raw[i] for i in ids]), self.spelled(ids)
         if len(word) <= KEPT_CHARS:
             if len(self._kept) >= KEPT:
-                self._older, self._kept = self._kept, {"": b""}
-            self._kept[word] = raw
-        return raw
+                self._older, self._kept = self._kept, {"": (b"", "")}
+            self._kept[word] = found
+        return found
 
-    def _again(self, word: str) -> bytes:
-        raw = self._older.get(word)
-        if raw is None:
+    def _again(self, word: str) -> tuple[bytes, str]:
+        found = self._older.get(word)
+        if found is None:
             return self._word(word)
-        self._kept[word] = raw
-        return raw
+        self._kept[word] = found
+        return found
 
-    def spelled(self, ids: list[int]) -> bytes:
-        """Bytes of some ids, word marks as spaces."""
-        return b"".join(
-            bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].replace(MARK, " ").encode()
-            for i in ids
-            if i not in (self.bos, self.eos)
-        )
+    def spelled(self, ids: list[int]) -> str:
+        """What ids say, word marks as spaces; bytes that are no UTF-8 are replaced."""
+        said = [self.say[i] for i in ids]
+        if None not in said:
+            return "".join(said)
+        return b"".join([bytes([self.of_byte[i]]) if t is None else t.encode() for i, t in zip(ids, said, strict=True)]).decode("utf-8", "replace")
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
-        """``(ids, decoded)``: ids with begin and end as little-endian unsigned 32-bit numbers."""
+        """``(ids, decoded)``: ids with begin and end as little-endian unsigned 32-bit numbers, and the text read from them."""
         words = self.marked_words(text or "")
         get = self._kept.get
         parts = [get(w) for w in words]
         if None in parts:
             parts = [self._again(w) if p is None else p for w, p in zip(words, parts, strict=True)]
-        said = "".join(words).replace(MARK, " ")  # each word is what its ids spell
-        return b"".join([self.raw[self.bos], *parts, self.raw[self.eos]]), said[1:]
+        return b"".join([self.raw[self.bos], *[p[0] for p in parts], self.raw[self.eos]]), "".join([p[1] for p in parts])[1:]
 
     def decode(self, ids: list[int]) -> str:
         """The text of any ids; the space that encoding put in front goes."""
-        said = self.spelled(ids).decode("utf-8", "replace")
+        said = self.spelled(ids)
         return said[1:] if said.startswith(" ") else said
 
     # counting
@@ -256,8 +264,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """``(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded])`` for each row of ``docs``.
 
     ``ids`` are little-endian unsigned 32-bit numbers with begin and end
-    tokens; a null text is taken as empty.  Repeated rows and null ids keep
-    their rows.  ``model`` is a path that every executor has.
+    tokens; a null text is taken as empty.  ``decoded`` is read from the ids,
+    word by word.  A very long text is encoded whole, also as one word; of
+    equal merges the leftmost goes first.  Repeated rows and null ids keep
+    their rows, an empty table has none.  ``model`` is a path that every
+    executor has.
     """
     path = model or default_model()
 
@@ -280,7 +291,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """``(id, n_tokens)`` for each row of ``docs``: unigram tokens; 0 for a null or empty text."""
+    """``(id, n_tokens)`` for each row of ``docs``: unigram tokens; 0 for a null or empty text.
+
+    Of paths of one score the one whose last piece is longest counts.  A very
+    long text is counted whole; repeated rows and null ids keep their rows.
+    """
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
