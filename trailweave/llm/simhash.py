@@ -8,7 +8,9 @@ radius: one flip from one side meets two flips from the other.  Of any
 three flipped bits two lie in the same 32-bit half, so pairs of flips
 are emitted within a half only.  The flips of the leading bits are
 shuffled as rows, those of the others are made where the rows arrive;
-the shuffle is thus by variant, at a few dozen rows a fingerprint.
+the shuffle is thus by variant, at 37 rows a fingerprint for 8 leading
+bits and 172 for 18.  A cell of the variant space that many distinct
+fingerprints reach is cut by further bits.
 
 Everything that meets at a variant within one flip of a fingerprint is
 within three bits of it, so a star around the smallest such fingerprint
@@ -17,7 +19,7 @@ stands for all pairs and the rows stay linear in the fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +29,13 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.bytestream import slices
 from trailweave.llm.components import connected_components, local_components
-from trailweave.llm.scratch import discard, materialise, split_by_key
+from trailweave.llm.scratch import discard, free_names, materialise, split_by_key
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints that one cell of the variant space should hold, about.
 CELL = 4000
+#: Rows of a cell that is cut further, and the bits that cut it.
+HOT_CELL, MORE_BITS = 100_000, 6
 
 
 def fingerprint(text: str | None) -> int:
@@ -125,23 +129,45 @@ def cell_links(fp: np.ndarray, flips: np.ndarray, bits: int) -> tuple[np.ndarray
     return uniq[moved], uniq[root[moved]]
 
 
-def fingerprint_links(distinct: DataFrame, bits: int) -> DataFrame:
-    """Links ``(u, v)`` among the distinct fingerprints in column ``fp``, enough for their components."""
-    top = [1 << i for i in range(bits)]
+def _emit(frame: DataFrame, lo: int, hi: int) -> DataFrame:
+    """``fp, cell, flips`` -> the rows at all variants of the leading bits ``lo`` to ``hi`` within two flips in all."""
+    top = [1 << i for i in range(hi - lo)]
     masks = [0] + top + [x | y for i, x in enumerate(top) for y in top[:i]]
-    cells = distinct.select("fp", F.explode(F.lit(masks).cast("array<int>")).alias("mask")).select(
-        "fp",
-        F.shiftrightunsigned("fp", 64 - bits).cast("int").bitwiseXOR(F.col("mask")).alias("cell"),
-        F.bit_count("mask").cast("int").alias("flips"),
-    )
+    part = F.shiftrightunsigned("fp", 64 - hi).bitwiseAND((1 << (hi - lo)) - 1)
+    return frame.withColumn("mask", F.explode(F.lit(masks).cast("array<long>"))).select(
+        "fp", F.shiftleft("cell", hi - lo).bitwiseOR(part.bitwiseXOR(F.col("mask"))).alias("cell"),
+        (F.col("flips") + F.bit_count("mask")).cast("int").alias("flips"),
+    ).where("flips <= 2")
+
 
+def _links_in(bits: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        u, v = cell_links(
-            table.column("fp").to_numpy().view(np.uint64), table.column("flips").to_numpy(), bits
-        )
+        u, v = cell_links(table.column("fp").to_numpy().view(np.uint64), table.column("flips").to_numpy(), bits)
         return pa.table({"u": pa.array(u.view(np.int64)), "v": pa.array(v.view(np.int64))})
 
-    return cells.groupBy("cell").applyInArrow(run, "u long, v long")
+    return run
+
+
+def fingerprint_links(distinct: DataFrame, bits: int, most: int = HOT_CELL) -> DataFrame:
+    """Links ``(u, v)`` among the distinct fingerprints in column ``fp``, enough for their components.
+
+    A cell of more than ``most`` rows is cut by the next ``MORE_BITS`` bits,
+    again until none is left or a cell has the whole upper half in common.
+    """
+    start = distinct.select("fp", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("flips"))
+    cells, out = _emit(start, 0, bits), None
+    while True:
+        hot = cells.groupBy("cell").count().where(F.col("count") > most).select("cell")
+        hot = materialise(hot, "hot-cells") if bits < 32 else None
+        some = hot is not None and not hot.isEmpty()
+        part = cells.join(hot, "cell", "left_anti") if some else cells
+        found = part.groupBy("cell").applyInArrow(_links_in(bits), "u long, v long")
+        out = found if out is None else out.unionByName(found)
+        if not some:
+            return out
+        more = min(32, bits + MORE_BITS)
+        cells = materialise(_emit(cells.join(hot, "cell", "left_semi"), bits, more), "cells")
+        bits = more
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,8 +175,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component`` is the smallest id reachable over links of at most three
     differing bits.  Null, empty and blank texts have fingerprint zero and
-    link like any other; repeated rows give repeated result rows; a null id
-    keeps its row and never names a component unless it is alone.
+    link like any other; very long texts are hashed in parts of 65536
+    shingles, none left out; ties of a bit (half of the shingles) are 0;
+    repeated rows give repeated result rows; a null id keeps its row and
+    never names a component unless it is alone; an empty table has no rows.
     """
     fps = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
@@ -180,9 +208,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     gone = materialise(gone.where("not first or rows > 1"), "gone")
     near, far = split_by_key(docs, [F.col(id_col).cast("long")], gone.select("id"))
-    held = near.join(gone.select(F.col("id").alias("__id"), "first").withColumnRenamed("first", "__first"), F.col(id_col).cast("long") == F.col("__id"), "left")
-    stays = held.where("__id is null").select(*docs.columns)
-    several = held.where("__first").select(*docs.columns).dropDuplicates([id_col, text_col])
+    key, first = free_names(docs, "__id", "__first")
+    held = near.join(gone.select(F.col("id").alias(key), F.col("first").alias(first)), F.col(id_col).cast("long") == F.col(key), "left")
+    stays = held.where(F.col(key).isNull()).select(*docs.columns)
+    several = held.where(F.col(first)).select(*docs.columns).dropDuplicates([id_col, text_col])
     return far.unionByName(stays).unionByName(several)
 
 
