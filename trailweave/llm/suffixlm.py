@@ -11,8 +11,8 @@ is scored by the longest suffix state at each byte.
 The states grow with the corpus, so they are never in one place: texts are
 cut into slices, the different grams of the slices get their probabilities
 in the families whose states they need, and a join brings them back to the
-slices.  Only the counts of single bytes after one byte (65536 at most) are
-broadcast.
+slices.  Only the counts of single bytes after two (2**24 at most, whatever
+the corpus) are broadcast.
 
 The unigram base is counted exactly over all tokens.  Counts of the most
 frequent ``FREQUENT`` tokens at most are broadcast; every other token of a
@@ -43,6 +43,8 @@ END = 10
 HELD, CHUNK = 200_000, 1 << 21
 #: Bytes of texts that meet the probabilities of their grams at once.
 SLICE = 16 << 20
+#: Grams whose probabilities are found at once, about.
+GROUP = 100_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -147,23 +149,41 @@ def _levels(gram: np.ndarray, n: np.ndarray) -> dict[int, tuple[np.ndarray, np.n
     return out
 
 
-def retained(gram: np.ndarray, n: np.ndarray, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Levels 2 and longer of the grams of one family, without the contexts that aren't states.
+@dataclass
+class Second:
+    """The counts of level 2 in training: 2**24 grams of three bytes at most, whatever the corpus."""
+
+    gram: np.ndarray
+    n: np.ndarray
+
+    def __post_init__(self):
+        self.context, where = np.unique(self.gram >> 8, return_inverse=True)
+        self.total = np.bincount(where, self.n, len(self.context))
+        self.kinds = np.bincount(where, minlength=len(self.context))
+
 
-    A family has all grams whose context ends in the same two bytes.
+def retained(gram: np.ndarray, n: np.ndarray, least: float, second: Second | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Levels 2 and longer of the grams of some families, without the contexts that aren't states.
+
+    A family has all grams whose context ends in the same two bytes, or in
+    the same three if the counts of level ``second`` are given; level 2 is
+    left out then.
     """
     order = np.argsort(gram)
     levels = _levels(gram[order], n[order])
     kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     needed = np.empty(0, np.int64)
-    for depth in range(DEPTH, 1, -1):
+    for depth in range(DEPTH, 1 if second is None else 2, -1):
         key, count = levels[depth]
         context, where = np.unique(key >> 8, return_inverse=True)
         total = np.bincount(where, count, len(context))
         if depth > 2:
-            short, scount = levels[depth - 1]
-            sctx, swhere = np.unique(short >> 8, return_inverse=True)
-            stotal = np.bincount(swhere, scount, len(sctx))
+            if depth == 3 and second is not None:
+                short, scount, sctx, stotal = second.gram, second.n, second.context, second.total
+            else:
+                short, scount = levels[depth - 1]
+                sctx, swhere = np.unique(short >> 8, return_inverse=True)
+                stotal = np.bincount(swhere, scount, len(sctx))
             cut = (1 << (8 * (depth - 1))) - 1
             p_short = scount[np.searchsorted(short, key & ((cut << 8) | 255))] / stotal[np.searchsorted(sctx, (key >> 8) & cut)]
             bits = np.bincount(where, count * np.log2(count / total[where] / p_short), len(context))
@@ -173,7 +193,8 @@ def retained(gram: np.ndarray, n: np.ndarray, least: float) -> dict[int, tuple[n
             state = (total >= least) | np.isin(context, needed)
         chosen = state[where]
         kept[depth] = key[chosen], count[chosen]
-    kept[-2] = levels[2]  # the whole level, for the shorter ones
+    if second is None:
+        kept[-2] = levels[2]  # the whole level, for the shorter ones
     return kept
 
 
@@ -267,36 +288,48 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
-def log_probabilities(gram: np.ndarray, n: np.ndarray, base: np.ndarray, least: float = LEAST) -> np.ndarray:
-    """log10 probability of each gram's last byte by its longest state; the grams are a family's, ``n`` is 0 for those not in training."""
+def log_probabilities(gram: np.ndarray, n: np.ndarray, base: np.ndarray, second: Second, least: float = LEAST) -> np.ndarray:
+    """log10 probability of each gram's last byte by its longest state; the grams are those of some families, ``n`` is 0 for those not in training."""
     p = base[gram & 0xFFFF]
+    if not len(second.gram):
+        return np.log10(p)
+
+    def longer(p: np.ndarray, own: np.ndarray, key: np.ndarray, count: np.ndarray, state: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        s, there = _at(state, own >> 8)
+        k, counted = _at(key, own)
+        return np.where(there, (np.where(counted, count[k], 0) + kinds[s] * p) / (total[s] + kinds[s]), p)
+
+    some = second.total >= least
+    if some.any():
+        p = longer(p, gram & 0xFFFFFF, second.gram, second.n, second.context[some], second.total[some], second.kinds[some])
     seen = n > 0
     if seen.any():
-        levels = retained(gram[seen], n[seen], least)
-        for depth in range(2, DEPTH + 1):
+        levels = retained(gram[seen], n[seen], least, second)
+        for depth in range(3, DEPTH + 1):
             key, count = levels[depth]
             if not len(key):
                 break
             state, where = np.unique(key >> 8, return_inverse=True)
-            total, kinds = np.bincount(where, count), np.bincount(where)
-            own = gram & ((1 << (8 * (depth + 1))) - 1)
-            s, there = _at(state, own >> 8)
-            k, counted = _at(key, own)
-            p = np.where(there, (np.where(counted, count[k], 0) + kinds[s] * p) / (total[s] + kinds[s]), p)
+            p = longer(p, gram & ((1 << (8 * (depth + 1))) - 1), key, count, state, np.bincount(where, count), np.bincount(where))
     return np.log10(p)
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
     """``(slice, gram, n)`` -> ``(gram, logp)`` for each different gram."""
-    pairs = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    shared = counts.sparkSession.sparkContext.broadcast(first_orders(pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(float)))
+    spark = counts.sparkSession
+    some = counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    key, n = some.column("key").to_numpy().astype(np.int64), some.column("n").to_numpy().astype(np.int64)
+    second = Second(key, n)
+    pair, where = np.unique(key & 0xFFFF, return_inverse=True)
+    shared = spark.sparkContext.broadcast((first_orders(pair, np.bincount(where, n, len(pair))), second))
 
     def run(table: pa.Table) -> pa.Table:
         gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
-        return pa.table({"gram": gram, "logp": log_probabilities(gram, n, shared.value).astype(np.float32)})
+        return pa.table({"gram": gram, "logp": log_probabilities(gram, n, *shared.value).astype(np.float32)})
 
-    # a family has at most as many rows as there are different grams with its two bytes
-    family = F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFF)
+    # a group has whole families of three bytes, some GROUP rows and the rest of its largest family
+    groups = max(64, -(-counts.count() // GROUP))
+    family = F.pmod(F.xxhash64(F.shiftrightunsigned("gram", 8).bitwiseAND(0xFFFFFF)), F.lit(groups))
     return counts.groupBy("gram").agg(F.sum("n").alias("n")).groupBy(family.alias("family")).applyInArrow(run, "gram long, logp float")
 
 
@@ -332,7 +365,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
     Learned from the rows where ``training`` holds (all, if none is given).
     A null text is empty: its only token is the end.  Without training text
     the base has no tokens (``train_tokens`` 0) and bytes are equally likely.
-    Repeated rows and null ids keep their rows.
+    A very long text is scored whole; contexts of one count and divergence
+    are states alike; repeated rows and null ids keep their rows; an empty
+    table has no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if training is None else training).alias("training"))
     known = rows.where("training").select("text")
