@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from trailweave.llm.bytestream import slices
 from trailweave.llm.langid import held_out
+from trailweave.llm.scratch import discard, materialise
 
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 RATIO, MIN_DOCS = 20.0, 4
@@ -120,10 +121,12 @@ class Field:
         for x in p:
             clean *= 1.0 - x
         spans = []
-        if len(low) == len(text):  # else lower case has shifted the offsets
-            toxic = {i: x for (i, _), x in zip(hits, p, strict=True) if x >= 0.5}
-            if toxic:
-                spans = [(m.start(), m.end(), toxic[i]) for i, m in enumerate(_TOKEN.finditer(low)) if i in toxic]
+        toxic = {i: x for (i, _), x in zip(hits, p, strict=True) if x >= 0.5}
+        if toxic:
+            spans = [(m.start(), m.end(), toxic[i]) for i, m in enumerate(_TOKEN.finditer(low)) if i in toxic]
+            if len(low) != len(text):  # a letter's lower case may be longer than the letter
+                at = [k for k, c in enumerate(text) for _ in c.lower()]
+                spans = [(at[s], at[e - 1] + 1, x) for s, e, x in spans]
         return 1.0 - clean, spans
 
 
@@ -196,6 +199,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     # about toxic_docs + clean_docs ids, whatever the corpus
     sample = docs.join(F.broadcast(labels.where(F.col("toxic").isin(0, 1) & (draw < share))), "id").select("text", "toxic")
+    sample = materialise(sample, "toxicity-sample")
+    field = _learn(sample)
+    discard(sample)
+    return field
+
+
+def _learn(sample: DataFrame) -> Field:
+    """A field from ``text, toxic``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -206,14 +217,14 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
         for toxic, c in tally.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([toxic] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["f", "toxic", "n"])
 
-    counted = sample.mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(
+    counted = sample.select("text", "toxic").mapInArrow(count, "f string, toxic int, n long").groupBy("f").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
     )
     kept = counted.where((F.col("t") >= MIN_DOCS) | (F.col("f") == "")).toArrow().to_pandas()
     every = kept[kept["f"] == ""]
     nt, nc = (int(every["t"].sum()), int(every["c"].sum())) if len(every) else (0, 0)
     kept = kept[(kept["f"] != "") & ((kept["t"] + 0.5) / max(nt, 1) >= RATIO * (kept["c"] + 0.5) / max(nc, 1))]
-    spark = docs.sparkSession
+    spark = sample.sparkSession
     wanted = spark.sparkContext.broadcast(set(kept["f"]))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,10 +266,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, cle
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32())), pa.array([1] * len(rows), pa.int64())], ["w", "y", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([[0] * KINDS * SPAN], pa.list_(pa.int32())), pa.array([[0] * SPAN], pa.list_(pa.int32())), pa.array([empty], pa.int64())], ["w", "y", "n"])
 
-    got = sample.mapInArrow(cut, "w array<int>, y array<int>, n long").groupBy("w", "y").agg(F.sum("n").alias("n")).where("n > 0").toArrow().to_pandas()
+    got = sample.select("text", "toxic").mapInArrow(cut, "w array<int>, y array<int>, n long").groupBy("w", "y").agg(F.sum("n").alias("n")).where("n > 0").toArrow().to_pandas()
     # a fixed order, so that sums and weights do not depend on the order of arrival
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got["w"][i]), list(got["y"][i])))]
-    windows = np.array([list(w) for w in got["w"]], np.int64).reshape(-1, SPAN, KINDS)
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got["w"].iloc[i]), list(got["y"].iloc[i])))]
+    windows = np.array([list(w) for w in got["w"]], np.int32).reshape(-1, SPAN, KINDS)
     return fit(windows, np.array([list(y) for y in got["y"]], np.int64), got["n"].to_numpy(float), names)
 
 
@@ -285,9 +296,10 @@ def score(
     The field is learned from the labels where ``training`` holds (all, if
     none is given); without any toxic or clean document every score is one
     small constant.  A null text is empty; texts without a feature, empty
-    ones too, get the score of a token far from any.  Repeated rows and null
-    ids keep their rows; offsets are left out where lower case changes a
-    text's length.
+    ones too, get the score of a token far from any.  A very long text is
+    tagged whole; repeated rows and null ids keep their rows; an id with
+    labels of both kinds is toxic; an empty table has no rows.  Offsets are
+    code points of the text as it is.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.lit(True) if training is None else training).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("toxic"))
