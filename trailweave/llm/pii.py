@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailweave.llm.bytestream import slices
-from trailweave.llm.scratch import materialise, split_by_key
+from trailweave.llm.scratch import discard, free_names, materialise, split_by_key
 
 KINDS = ("email", "ip", "card", "phone")
 ALPHA, SUPPORT = 0.9, 3
@@ -306,7 +306,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     wanted = materialise(wanted, "spans")
     keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
     near, far = split_by_key(docs, keys, wanted.select("id", "th"))
-    named = wanted.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
+    key, hashed, marks = free_names(docs, "__id", "__th", "__spans")
+    named = wanted.select(F.col("id").alias(key), F.col("th").alias(hashed), F.col("spans").alias(marks))
 
     def at_spans(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None else redact(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
@@ -315,8 +316,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
         return pd.Series([t if t is None else redact(t, joined(base_spans(t))) for t in texts], dtype=object)
 
     redacted, base = F.pandas_udf(at_spans, "string"), F.pandas_udf(at_base, "string")
-    joined_rows = near.join(named, (keys[0] == F.col("__id")) & (keys[1] == F.col("__th")), "left")
-    changed = joined_rows.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.coalesce("__spans", F.lit("")))))
+    rows = near.join(named, (keys[0] == F.col(key)) & (keys[1] == F.col(hashed)), "left")
+    clean = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.coalesce(marks, F.lit(""))))
+    changed = rows.withColumn(text_col, clean)
     alone = far.where(F.col(id_col).isNull()).withColumn(text_col, base(F.col(text_col)))
     return changed.select(*docs.columns).unionByName(far.where(F.col(id_col).isNotNull())).unionByName(alone.select(*docs.columns))
 
