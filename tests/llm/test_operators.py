@@ -27,7 +27,7 @@ def docs(spark, sf_dir):
 def odd(spark):
     """Nulls in every column, empty and blank texts, one very long word, repeated rows, clashing columns."""
     rows = [(1, None, "en", 0), (2, "", "en", 0), (3, " \n\t ", None, 0), (None, "a b c d e f", "fr", 1), (5, "x" * 200_000, "de", 2), (6, "one two", "en", 3), (6, "one two", "en", 3), (7, None, None, None)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").selectExpr("*", "score as id", "score as component", "score as th", "score as uid", "score as slot", "score as n_chars")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score int").selectExpr("*", "score as id", "score as component", "score as th", "score as uid", "score as slot", "score as n_chars", "score as __id", "score as __first", "score as __th", "score as __spans", "score as __bits")
 
 
 @pytest.fixture(scope="module")
@@ -91,12 +91,32 @@ def test_embedding_cells_lose_nothing():
     rng = np.random.default_rng(2)
     x = embeddings._unit(np.concatenate([rng.normal(size=(200, 6)), np.repeat(rng.normal(size=(10, 6)), 20, 0) + rng.normal(scale=0.05, size=(200, 6))]))
     pivots = embeddings.choose_pivots(x, 12)
-    row, cell, home = embeddings.cells_of(x, pivots, math.sqrt(0.04))
+    home, dist = embeddings.homes_of(x, pivots)
+    far = np.array([dist[home == c].max(initial=-1.0) for c in range(len(pivots))])
+    row, cell, is_home = embeddings.cells_of(x, pivots, math.sqrt(0.04), far)
     members = {c: set(row[cell == c]) for c in set(cell)}
-    homes = dict(zip(row[home], cell[home], strict=True))
-    assert len(homes) == len(x)
+    assert sorted(row[is_home]) == list(range(len(x))) and (cell[is_home] == home[row[is_home]]).all() and (cell <= home[row]).all()
     for i, j in np.argwhere(x @ x.T >= 0.98):
-        assert j in members[homes[i]]
+        assert {i, j} <= members[min(home[i], home[j])]
+
+
+def test_embeddings_of_many_cells(spark, monkeypatch):
+    """Pivots, replicas and blocks in play: counts and components against all pairs, doubles that single precision would merge included."""
+    monkeypatch.setattr(embeddings, "PER_PIVOT", 20)
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(25, 8))
+    rows = [(k, (centres[k % 25] + rng.normal(scale=0.09, size=8)).tolist(), "a" if k % 3 else "b") for k in range(420)]
+    rows += [(1000 + k, rows[k][1], rows[k][2]) for k in range(5)] + [(2000, [1.0] + [0.0] * 7, "c"), (2001, [0.98, math.sqrt(1 - 0.98**2) * (1 + 1e-9)] + [0.0] * 6, "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label[None, :]) & ~np.eye(len(rows), dtype=bool)
+    root = reach(len(rows), list(map(tuple, np.argwhere(near).tolist())))
+    want = {r[0]: (int(near[i].sum()), rows[root[i]][0]) for i, r in enumerate(rows)}
+    got = {r.id: (r.n_links, r.component) for r in embeddings.near_duplicates(frame).collect()}
+    assert got == want and near.sum() > 500 and not near[-1].any()
 
 
 def test_language(spark, docs, odd, empty):
@@ -115,13 +135,76 @@ def test_code_lengths_are_those_of_distributions(docs):
     from trailweave.llm.bytestream import stream
 
     rows = docs.where("doc_id % 4 != 2").select("doc_id", "text", "lang").withColumnRenamed("doc_id", "id")
-    trees = langid.train(rows)
+    (trees,) = langid.train(rows)
     total = np.exp2(-trees.cost.astype(float)).sum(1)
     assert np.allclose(total, 1, atol=1e-3)
     whole, parts = trees.bits(*stream(pa.array(["the other one", ""]))), trees.bits(*stream(pa.array(["the other one"])))
     assert np.allclose(whole[0], parts[0]) and not whole[1].any()
 
 
+def plain_ppm(training, text):
+    """Code length of ``text`` in each language of ``training`` (lang, text), context by context."""
+    seen = sorted({b for _, t in training for b in t.lower().encode()} | {10})
+    size, counts = len(seen) + 1, {}
+    for lang, t in training:
+        data = b"\n\n\n" + t.lower().encode()
+        for at in range(3, len(data)):
+            for order in range(4):
+                counts.setdefault((lang, data[at - order : at]), Counter())[data[at]] += 1
+
+    def p(lang, context, c):
+        lower = (lambda x: p(lang, context[1:], x)) if context else (lambda x: 1 / size)
+        got = counts.get((lang, context))
+        if not got or len(context) == 3 and sum(got.values()) < langid.MIN_CONTEXT:
+            return lower(c)
+        escape = len(got) if len(got) < size else 0
+        high = sum(got.values()) + escape
+        if c in got:
+            return got[c] / high
+        return escape / high * lower(c) / sum(lower(x) for x in [*seen, None] if x not in got)
+
+    data = b"\n\n\n" + text.lower().encode()
+    return {lang: -sum(math.log2(p(lang, data[at - 3 : at], data[at] if data[at] in seen else None)) for at in range(3, len(data))) for lang in sorted({x for x, _ in training})}
+
+
+def test_language_as_plain_ppm(spark, monkeypatch):
+    training = [("aa", "banana band"), ("aa", "an bad nab"), ("bb", "dada dance"), ("bb", "cad dab Dab"), ("cc", "nab\ncab"), ("cc", "bb")]
+    texts = ["banana", "Dad danced", "qx nab", "b", "", "12", None, "nab\nnab", "bb bb"]
+    rows = [(k, t, lang) for k, (lang, t) in enumerate(training)] + [(100 + k, t, None) for k, t in enumerate(texts)] + [(None, "bands", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = frame.selectExpr("doc_id as id", "text", "lang")
+    for most, at_once in ((langid.TABLE_BYTES, 32), (1, 32), (1, 2)):  # one table, and a table and a pass for each language
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        models = langid.train(named, most=most)
+        assert len(models) == (1 if most > 1 else 3)
+        got = {r.id: r for r in langid.predict(named, models).collect()}
+        assert len(got) == len(rows)
+        for k, text, _ in rows:
+            if text and any(c.isalpha() for c in text):
+                bits = plain_ppm(training, text)
+                best = min(bits, key=lambda x: (round(bits[x], 4), x))
+                assert got[k].lang_pred == best and math.isclose(got[k].bits, bits[best], abs_tol=1e-3)
+                assert math.isclose(got[k].score, 1 / sum(2 ** (bits[best] - b) for b in bits.values()), abs_tol=1e-3)
+            else:
+                assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+
+
+def test_language_sample_is_bounded_without_ids(spark):
+    rows = spark.range(6000).selectExpr("cast(null as long) as id", "concat('word ', id) as text", "'en' as lang")
+    (trees,) = langid.train(rows, train_docs=500)
+    small = sum(langid.train(rows.limit(0)) == [] for _ in range(1))
+    assert small and trees.languages == ["en"]
+    draw = "pmod(xxhash64(id, xxhash64(text), 'langid'), 1073741824) / 1073741824D"
+    assert 350 < rows.where(f"{draw} < 500 / 6000D").count() < 650
+
+
+def test_language_stage_rejects_what_no_code_shortens(spark):
+    rows = [(k, "the cat sat on the mat and the dog ran " * 4, "en") for k in range(40)] + [(100, "the dog sat", "en"), (101, "語" * 300, None), (102, "...", "en"), (103, None, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "doc_id as __bits", "text as __best")
+    kept = langid.keep_identified(frame, most_bits=2.0)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {*range(40), 100}
+
+
 @pytest.fixture(scope="module")
 def table():
     return pieces.Pieces(pieces.default_model())
@@ -257,6 +340,20 @@ def test_simhash(spark, docs, odd, empty):
     assert simhash.one_of_each(odd).count() == 4 and simhash.one_of_each(odd).columns == odd.columns
 
 
+def test_hot_cells_are_cut(spark, monkeypatch):
+    """A family whose fingerprints share their leading bits, cut by further bits, has the links of all pairs."""
+    rng = np.random.default_rng(12)
+    base = int(rng.integers(0, 2**63))
+    fps = {base} | {base ^ sum(1 << int(i) for i in rng.choice(50, rng.integers(1, 7), replace=False)) for _ in range(300)}
+    fps = np.array(sorted(fps), np.uint64)
+    frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = [(r.u, r.v) for r in simhash.fingerprint_links(frame, 8, most=50).collect()]
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    assert all((int(u) ^ int(v)) & ((1 << 64) - 1) for u, v in got)
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    assert reach(len(fps), [(at[u], at[v]) for u, v in got]) == reach(len(fps), want)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 2**32))
 def test_balls_meet(seed):
@@ -320,6 +417,57 @@ def test_decontamination(spark, docs, odd, empty):
     assert decontaminate.without_benchmark(odd, bench).count() == odd.count()
 
 
+def brute_distance(pattern, text):
+    """Least edits between the pattern and any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, x in enumerate(text):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_as_full_search(spark, monkeypatch):
+    """All pairs of small texts and items by plain dynamic programming; short items, repeats, ties and null ids; both ways of search."""
+    rng = np.random.default_rng(11)
+    words = ["ab", "ba", "aab", "b", "abba", "bab"]
+    some = lambda n: " ".join(rng.choice(words, n))
+    items = [(k, some(rng.integers(1, 9))) for k in range(14)] + [(20, None), (21, " \t"), (None, "Abba  bab"), (3, "bab abba bab ab ba aab")]
+    rows = [(k, some(rng.integers(0, 22))) for k in range(40)]
+    for k in range(12):
+        text = list(items[k][1])
+        for at in rng.choice(len(text), min(len(text) // 8, 3), replace=False):
+            text[at] = "#"
+        rows.append((100 + k, some(3) + "\n " + "".join(text).upper() + "  " + some(2)))
+    rows += [(100, rows[40][1]), (None, rows[41][1]), (200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as item_id", "text as __th")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "item_id as doc_id", "text as pattern")
+    want, dirty = Counter(), set()
+    for d, text in rows:
+        for i, item in items:
+            low, own = decontaminate.normal(item), decontaminate.normal(text)
+            if not low or not own:
+                continue
+            if len(low.split()) < decontaminate.MIN_WORDS:
+                distance = 0 if f" {low} " in f" {own} " else None
+            else:
+                distance = brute_distance(low, own)
+                distance = distance if distance <= int(len(low) * decontaminate.RATE) else None
+            if distance is not None:
+                want[d, i, distance] += 1
+                if len(low.split()) >= decontaminate.MIN_WORDS:
+                    dirty.add(text)
+    assert len(want) > 40 and any(d for _, _, d in want) and dirty
+    for chars in (decontaminate.BLOCK_CHARS, 0):  # broadcast, and through the join
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        got = decontaminate.matches(docs, bench).collect()
+        assert Counter((r.id, r.item, r.distance) for r in got) == want
+        kept = decontaminate.without_benchmark(docs, bench)
+        assert kept.columns == docs.columns
+        assert Counter(tuple(r)[:2] for r in kept.collect()) == Counter(r for r in rows if r[1] not in dirty)
+
+
 def brute_pii(text):
     out = []
     for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):

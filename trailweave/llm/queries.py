@@ -10,7 +10,7 @@ from trailweave.llm.embeddings import op1_embedding_near_dedup
 from trailweave.llm.langid import op2_language_id
 from trailweave.llm.pieces import op3_sentencepiece, op6_token_counts
 from trailweave.llm.pii import op9_pii
-from trailweave.llm.scratch import text_batches
+from trailweave.llm.scratch import own_session
 from trailweave.llm.simhash import op7_simhash
 from trailweave.llm.substrings import op5_substring_dedup
 from trailweave.llm.suffixlm import op10_lm_scoring
@@ -19,8 +19,7 @@ from trailweave.llm.toxicity import op4_toxicity
 def _bounded(query):
     @wraps(query)
     def run(spark, sf_dir):
-        text_batches(spark)
-        return query(spark, sf_dir)
+        return query(own_session(spark), sf_dir)
 
     return run
 

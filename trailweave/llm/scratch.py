@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -11,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts of a batch.
+TEXT_ROWS = 1024
+#: Endings of columns that are added for a while.
+_NAMES = count()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,15 +31,34 @@ def scratch_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="trailweave-")
+        folder = tempfile.mkdtemp(prefix="trailweave-")
+        atexit.register(shutil.rmtree, folder, True)
+        _OWN[app] = "file://" + folder
     return _OWN[app]
 
 
-def text_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Whole texts go to Python workers in batches of ``rows`` rows, unless the session asks for some other number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, rows)
+def own_session(spark: SparkSession, rows: int = TEXT_ROWS) -> SparkSession:
+    """A session with the settings of ``spark``, whose texts go to Python workers in batches of ``rows`` rows; ``spark`` stays as it is."""
+    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    session.conf.set(BATCH_ROWS, rows)
+    return session
+
+
+def in_session(df: DataFrame, session: SparkSession) -> DataFrame:
+    """The same rows as a frame of another session."""
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_{next(_NAMES)}"
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
