@@ -65,19 +65,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of what was written."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def _fs(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, target = _fs(spark, path)
+    fs.delete(target, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, there as a whole or not at all."""
+    fs, target = _fs(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(text.encode())
+    out.close()
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be written")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    fs, target = _fs(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that ``materialise`` returned and that nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        delete(df.sparkSession, path)
 
 
 def split_by_key(docs: DataFrame, keys: list, wanted: DataFrame, bits: int = 1 << 22) -> tuple[DataFrame, DataFrame]:

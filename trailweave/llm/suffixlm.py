@@ -40,7 +40,7 @@ DEPTH, LEAST, GAIN = 5, 2, 4.0
 FREQUENT = 200_000
 END = 10
 #: Distinct tokens that a task holds before it passes their counts on, and bytes whose contexts it counts at once.
-HELD, CHUNK = 200_000, 1 << 21
+HELD, CHUNK = 200_000, 1 << 20
 #: Bytes of texts that meet the probabilities of their grams at once.
 SLICE = 16 << 20
 #: Grams whose probabilities are found at once, about.
@@ -122,7 +122,7 @@ def slice_grams(flags: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> tupl
         parts.append(np.unique(gram[training], return_counts=True))
         other = np.unique(gram[~training])
         parts.append((other, np.zeros(len(other), np.int64)))
-        if sum(len(k) for k, _ in parts[1:]) > 3 * len(parts[0][0]) + CHUNK:
+        if sum(len(k) for k, _ in parts[1:]) > 2 * len(parts[0][0]) + CHUNK:
             parts = [_folded(parts)]
     return _folded(parts)
 
