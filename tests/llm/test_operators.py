@@ -307,6 +307,33 @@ def test_substrings(spark, batches):
     assert sum(w[1] > 0 for w in want.values()) > 10
 
 
+def test_index_is_opened_again(spark, tmp_path, monkeypatch):
+    """Batches added by sessions that know the index by its folder only give what one pass over all gives; full levels are compacted."""
+    monkeypatch.setattr(substrings, "FANOUT", 2)
+    rng = np.random.default_rng(13)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 300, n)]
+    shared, rows = [word(n) for n in (55, 90, 160)], []
+    for i in range(40):
+        part = shared[rng.integers(3)]
+        rows.append((i, " ".join(word(rng.integers(0, 40)) + part[rng.integers(0, 20) :] + word(rng.integers(0, 40)))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path, got, levels = f"file://{tmp_path}/index", {}, []
+    for k in range(5):
+        known = frame.where(f"doc_id < {8 * k}")
+        index = substrings.FingerprintIndex(spark.newSession() if k else spark, path, texts=known if k else None)
+        for r in index.add(frame.where(f"doc_id >= {8 * k} and doc_id < {8 * k + 8}")).collect():
+            got[r.id] = r.n_words, r.n_removed, r.sha
+        levels.append(sorted(r["level"] for r in index.state["runs"]))
+    assert got == brute_windows(rows) and sum(w[1] > 0 for w in got.values()) > 10
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+    assert len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 2  # compacted runs are gone
+    for run in index.runs():
+        assert run.count() == run.select("h", "g").distinct().count()
+    plan = index.runs()[0].select("h", "g")
+    text = plan.join(index.runs()[1].select("h", "g").hint("merge"), ["h", "g"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Sort [" not in text
+
+
 def test_substrings_odd(odd, empty):
     got = substrings.deduplicate(odd).collect()
     assert len(got) == odd.count() and all(r.n_removed == 0 for r in got)
