@@ -37,8 +37,10 @@ from trailweave.llm.bytestream import slices
 from trailweave.llm.scratch import delete, discard, in_session, materialise, names_in, own_session, read_text, scratch_root, split_by_key, write_text
 
 WINDOW, GRAM = 50, 16
-#: Runs of a level before they are compacted, and batches that the query adds.
-FANOUT, BATCHES = 4, 6
+#: Runs of a level before they are compacted.
+FANOUT = 4
+#: Batches that the query adds, and runs of a level there: the third batch meets the compacted runs of the first two.
+BATCHES, QUERY_FANOUT = 3, 2
 #: Bytes of documents for each bucket of an index, its least and most buckets.
 PER_BUCKET, BUCKETS = 64 << 20, (8, 1 << 15)
 DIGEST = 16
@@ -214,7 +216,8 @@ class FingerprintIndex:
     are; ``texts`` reads those added so far, where windows must be compared.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS[0], texts: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS[0], texts: DataFrame | None = None, fanout: int = FANOUT):
+        self.fanout = fanout
         self.spark, self.path = own_session(spark), path
         # a bucket is one file in order, and equal hashes of h are enough for a join by h and g
         self.spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
@@ -261,7 +264,7 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Where a level is full its runs become one of the next, the smallest document for each segment."""
         level = 0
-        while len(full := [r for r in self.state["runs"] if r["level"] == level]) >= FANOUT:
+        while len(full := [r for r in self.state["runs"] if r["level"] == level]) >= self.fanout:
             merged = reduce(DataFrame.unionByName, [self.run(r["name"]) for r in full])
             first = merged.groupBy("h", "g").agg(F.min_by(F.struct("id", "th", "lo", "hi"), F.struct("id", "th", "lo")).alias("p"))
             new = {"name": self._write(first.select("h", "g", "p.*")), "level": level + 1}
@@ -274,9 +277,11 @@ class FingerprintIndex:
         self.state = self.state | {"version": self.state["version"] + 1, "runs": runs}
         write_text(self.spark, f"{self.path}/manifest-{self.state['version']:09d}.json", json.dumps(self.state))
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
         """``(id, n_words, n_removed, sha, kept)`` for each row of ``docs``, which then belong to the index.
 
+        Without ``keep`` they don't: for the last batch of an index that goes.
+
         A word goes if a window over it also starts in a document of a
         smaller id.  ``kept`` is null where nothing goes, ``sha`` is the
         digest of the kept words joined by one space.  A null text has no
@@ -328,14 +333,13 @@ class FingerprintIndex:
             discard(read)
         changed = materialise(without(named, ranges).dropDuplicates(["id", "th"]), "changed")
         discard(ranges)
-        new = mine.join(classes, ["h", "g"]).where("id = first").select("h", "g", "id", "th", "lo", "hi")
-        self._publish([*self.state["runs"], {"name": self._write(new), "level": 0}])
+        if keep:
+            new = mine.join(classes, ["h", "g"]).where("id = first").select("h", "g", "id", "th", "lo", "hi")
+            self._publish([*self.state["runs"], {"name": self._write(new), "level": 0}])
+            self.compact()
+            self.texts = named if self.texts is None else self.texts.unionByName(named)
         discard(classes)
-        self.compact()
-        self.texts = named if self.texts is None else self.texts.unionByName(named)
-        found = materialise(scanned.select("id", "th", "n_words", "sha"), "words")
-        discard(scanned)
-        return found.join(changed.select("id", "th", "n_removed", F.col("sha").alias("sha2"), "kept"), ["id", "th"], "left").select(
+        return scanned.select("id", "th", "n_words", "sha").join(changed.select("id", "th", "n_removed", F.col("sha").alias("sha2"), "kept"), ["id", "th"], "left").select(
             "id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha2", "sha").alias("sha"), "kept"
         )
 
@@ -348,13 +352,13 @@ def buckets_for(docs: DataFrame) -> int:
     return int(min(BUCKETS[1], max(BUCKETS[0], size // PER_BUCKET)))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, fanout: int = QUERY_FANOUT) -> DataFrame:
     """All of ``docs`` through a new index, in batches of ascending ids; columns as ``FingerprintIndex.add``."""
     spark = docs.sparkSession
     shares = [k / batches for k in range(1, batches)]
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     cuts = sorted(set(ids.stat.approxQuantile("id", shares, 0.01))) if shares else []
-    index, out, low = FingerprintIndex(spark, f"{scratch_root(spark)}/index-{uuid.uuid4().hex}", buckets_for(docs)), None, None
+    index, out, low = FingerprintIndex(spark, f"{scratch_root(spark)}/index-{uuid.uuid4().hex}", buckets_for(docs), fanout=fanout), None, None
     for k in range(len(cuts) + 1):
         part = docs
         if k < len(cuts):
@@ -364,7 +368,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if k == len(cuts):
             alone = docs.where(F.col(id_col).isNull())
             part = docs if not cuts else part.unionByName(alone)
-        found = index.add(part, id_col, text_col)
+        found = index.add(part, id_col, text_col, keep=k < len(cuts))
         if k < len(cuts):
             low = int(cuts[k])
         out = found if out is None else out.unionByName(found)
