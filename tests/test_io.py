@@ -1,8 +1,11 @@
 """Readers, writers and the stream."""
 
+import datetime
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailweave.operators import landscape, track
 from trailweave.sinks import writers
@@ -95,12 +98,45 @@ def test_degenerate_box(spark):
     assert 0 <= cell.x < 10 and 0 <= cell.y < 10
 
 
-def test_stream(spark, tmp_path, sf_dir):
-    fixes = fx.fixes(spark, sf_dir).withColumn("ts", __import__("pyspark").sql.functions.col("ts").cast("timestamp"))
-    fixes.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(fixes.schema).parquet(str(tmp_path / "in"))
-    run = stream_segments(stream).writeStream.format("memory").queryName("segs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+def run_stream(spark, tmp_path, files, delay, name):
+    """Segments of batches of fixes ``(event_id, animal_id, ts, lon, lat)`` that come file by file."""
+    kind = "event_id long, animal_id string, ts timestamp, lon double, lat double"
+    for k, rows in enumerate(files):
+        part = spark.createDataFrame(rows, kind).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = stream_segments(stream, delay).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(120)
-    valid = track.valid(fixes)
-    distinct = valid.select("animal_id", "ts").distinct().count()
-    assert spark.table("segs").count() == distinct - valid.select("animal_id").distinct().count()
+    return spark.table(name)
+
+
+def test_stream_in_one_batch(spark, tmp_path, sf_dir):
+    """All fixes of which the last hour has passed, and no other, are in segments as the window function gives them."""
+    fixes = track.valid(fx.fixes(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = [tuple(r) for r in fixes.select("event_id", "animal_id", "ts", "lon", "lat").collect()]
+    got = {(r.animal_id, r.ts0, r.ts1) for r in run_stream(spark, tmp_path, [rows], "1 hour", "one").collect()}
+    # Spark's watermark is in milliseconds
+    end = max(r[2] for r in rows) - datetime.timedelta(hours=1)
+    want, last = set(), {}
+    for _, a, ts, _, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        if ts <= end and last.get(a) != ts:
+            if a in last:
+                want.add((a, last[a], ts))
+            last[a] = ts
+    assert got == want and len(got) > 500
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    """A fix that comes a batch late within the delay is in its place; one beyond the delay is dropped; a silent animal's fixes go on."""
+    at = lambda m: datetime.datetime(2024, 1, 1, 12) + datetime.timedelta(minutes=m)
+    fix = lambda i, a, m: (i, a, at(m), float(m), 1.0)
+    files = [
+        [fix(1, "a", 0), fix(2, "a", 30), fix(3, "b", 0), fix(4, "b", 10)],
+        [fix(5, "a", 15), fix(6, "a", 40)],  # 15 comes after 30
+        [fix(7, "a", 200)],
+        [fix(9, "a", 210)],
+        [fix(8, "a", 20), fix(10, "c", 1000)],  # 20 is beyond the delay by then
+    ]
+    got = sorted((r.animal_id, r.seg, r.lon0, r.lon1) for r in run_stream(spark, tmp_path, files, "60 minutes", "late").collect())
+    assert got == [("a", 0, 0.0, 15.0), ("a", 1, 15.0, 30.0), ("a", 2, 30.0, 40.0), ("a", 3, 40.0, 200.0), ("a", 4, 200.0, 210.0), ("b", 0, 0.0, 10.0)]

@@ -86,6 +86,24 @@ def grid_index_plain(value: str, low: str, high: str, size: str, southward: bool
     return truncated(f"({part} / nullif({high} - {low}, 0e0) * {size})")
 
 
+def grid_index_loose(east: str, north: str, box: tuple[str, str, str, str], width: str, height: str) -> tuple[str, str]:
+    """Cells without clamping to the box ``(x_min, y_min, x_max, y_max)`` before, only to the grid; (0, 0) where a coordinate is null or a side has no extent."""
+    x_min, y_min, x_max, y_max = box
+    none = f"{east} is null or {north} is null or {x_max} = {x_min} or {y_max} = {y_min}"
+    cell = lambda part, size: f"(case when {none} then 0 else least(greatest({truncated(f'({part} * {size})')}, 0), {size} - 1) end)"
+    return cell(f"({east} - {x_min}) / nullif({x_max} - {x_min}, 0e0)", width), cell(f"({y_max} - {north}) / nullif({y_max} - {y_min}, 0e0)", height)
+
+
+def file_name(prefix: str, box: tuple[str, str, str, str]) -> str:
+    """A file's name with a box rounded to a tenth; ``printf`` in both dialects."""
+    return f"printf('{prefix}_%s_%.1f_%.1f_%.1f_%.1f', animal_id, {', '.join(box)})"
+
+
+def layers_key(D: str, width: str, height: str, T: str, x: str, y: str, terrain: str) -> str:
+    """The first eight digits of the SHA-1 of a walk's parameters."""
+    return f"substr(sha1(concat_ws('-', {D}, {width}, {height}, {T}, {x}, {y}, {terrain})), 1, 8)"
+
+
 def grid_coordinate(cell: str, low: str, high: str, size: str, southward: bool = False) -> str:
     """Coordinate of a cell; divides by ``size - 1`` where the index multiplies by ``size``."""
     part = f"coalesce({cell} / nullif({size} - 1e0, 0e0), 0e0) * ({high} - {low})"

@@ -118,6 +118,55 @@ def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * b
 
 
+def scaled(kernel: np.ndarray, factor: float) -> np.ndarray:
+    """The kernel divided by a factor."""
+    if factor == 0:
+        raise ValueError("the factor is 0")
+    return kernel / factor
+
+
+def combine_into(a: np.ndarray, b: np.ndarray) -> None:
+    """Elementwise product, kept in ``a``."""
+    a[...] = combine(a, b)
+
+
+def rotate_about(kernel: np.ndarray, degrees: float, cy: float, cx: float) -> np.ndarray:
+    """The kernel turned about a cell, bilinear, not normalised; what is turned out of it is lost."""
+    h, w = kernel.shape
+    a = math.radians(degrees)
+    y, x = (g.ravel().astype(float) for g in np.meshgrid(np.arange(h), np.arange(w), indexing="ij"))
+    sx, sy = math.cos(a) * (x - cx) + math.sin(a) * (y - cy) + cx, -math.sin(a) * (x - cx) + math.cos(a) * (y - cy) + cy
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    out = np.zeros(h * w)
+    for j in (0, 1):
+        for i in (0, 1):
+            part = np.abs(1 - i - (sx - x0)) * np.abs(1 - j - (sy - y0))
+            inside = (x0 + i >= 0) & (x0 + i < w) & (y0 + j >= 0) & (y0 + j < h)
+            out[inside] += part[inside] * kernel[y0[inside] + j, x0[inside] + i]
+    return out.reshape(h, w)
+
+
+def tensor(D: int, height: int, width: int, value: float = 0.0) -> np.ndarray:
+    """``D`` matrices of one value."""
+    if min(D, height, width) < 1:
+        raise ValueError("sizes must be positive")
+    return np.full((D, height, width), value)
+
+
+def in_bounds(kernel: np.ndarray, *at: int) -> bool:
+    """Whether a place ``(y, x)`` or ``(d, y, x)`` is in a matrix or tensor."""
+    return len(at) == kernel.ndim and all(0 <= i < n for i, n in zip(at, kernel.shape, strict=True))
+
+
+def with_matrix(base: np.ndarray, d: int, matrix: np.ndarray) -> np.ndarray:
+    """A tensor with one of its matrices replaced."""
+    if not 0 <= d < len(base) or matrix.shape != base.shape[1:]:
+        raise ValueError("no such matrix, or one of another shape")
+    out = base.copy()
+    out[d] = matrix
+    return out
+
+
 def _cut(polygon: list[tuple[float, float]], nx: float, ny: float) -> list[tuple[float, float]]:
     out = []
     for (x0, y0), (x1, y1) in zip(polygon, polygon[1:] + polygon[:1], strict=True):

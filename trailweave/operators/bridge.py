@@ -14,7 +14,9 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from dataclasses import field as dataclass_field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -64,6 +66,8 @@ class Field:
     still: bool = True
     renormalise: bool = True
     at: Callable[[int], list[np.ndarray]] | None = None
+    #: Moves of boxes met before, where they are the same at all points.
+    made: dict = dataclass_field(default_factory=dict)
 
     def kernels_at(self, t: int) -> list[np.ndarray]:
         return self.at(t) if self.at else self.kernels
@@ -155,6 +159,8 @@ class _Moves:
 
     def back(self, a: np.ndarray, d: int, y: int, x: int, u: float) -> tuple[int, int, int] | None:
         """A predecessor ``(d, y, x)`` of a state, drawn by ``u`` in a fixed order."""
+        if self.D == 1 and len(self.parts) == 1:
+            return self._back_plain(a[0], y, x, u)
         weights_, states = [], []
         h, w = a.shape[1:]
         for own, shifts, weights, scale, masks, turn, _ in self.parts:
@@ -175,6 +181,26 @@ class _Moves:
         return states[min(int(np.searchsorted(total, u * total[-1], "right")), len(states) - 1)]
 
 
+    def _back_plain(self, a: np.ndarray, y: int, x: int, u: float) -> tuple[int, int, int] | None:
+        """The same for one class without directions: the kernel turned round over the cells about the state."""
+        own, shifts, weights, scale, *_ = self.parts[0]
+        h, w = a.shape
+        side = math.isqrt(len(shifts))
+        # predecessors go from the first shift's downwards
+        py, px = y - int(shifts[0, 0]), x - int(shifts[0, 1])
+        r0, c0 = max(0, py - h + 1), max(0, px - w + 1)
+        r1, c1 = min(side, py + 1), min(side, px + 1)
+        if r0 >= r1 or c0 >= c1:
+            return None
+        at = np.s_[py - r1 + 1 : py - r0 + 1, px - c1 + 1 : px - c0 + 1]
+        p = (a[at] * scale[0][at] * own[at])[::-1, ::-1] * weights[0].reshape(side, side)[r0:r1, c0:c1]
+        total = p.ravel().cumsum()
+        if total[-1] <= 0:
+            return None
+        k = min(int(total.searchsorted(u * total[-1], "right")), len(total) - 1)
+        return 0, py - r0 - k // (c1 - c0), px - c0 - k % (c1 - c0)
+
+
 def _box(field: Field, start: tuple[int, int], end: tuple[int, int], T: int) -> tuple[int, int, int, int]:
     reach = 0
     for t in range(1, T) if not field.still else (1,):
@@ -199,9 +225,15 @@ def walk(field: Field, start: tuple[int, int], end: tuple[int, int], T: int, key
     moves: dict[int, _Moves] = {}
 
     def to(t: int) -> _Moves:
-        k = 1 if field.still else t
+        if field.still:
+            if box not in field.made:
+                if len(field.made) >= 32:
+                    field.made.clear()
+                field.made[box] = _Moves(field, 1, box)
+            return field.made[box]
+        k = t
         if k not in moves:
-            if not field.still and len(moves) > 8:
+            if len(moves) > 8:
                 moves.clear()
             moves[k] = _Moves(field, k, box)
         return moves[k]
@@ -266,14 +298,52 @@ def biased_field(width: int, height: int, biases: list, S: int = 7, kernel: np.n
     return Field(width, height, [base], shift=lambda t: (int(biases[t][0]), int(biases[t][1])), still=False)
 
 
-def terrain_field(terrain: np.ndarray, mapping: dict[int, KernelParams], kappa: float = 2.0, renormalise: bool = True) -> Field:
-    """Kernels by landcover class; a class outside the mapping is forbidden."""
+def terrain_field(
+    terrain: np.ndarray, mapping: dict[int, KernelParams], kappa: float = 2.0, renormalise: bool = True, kernels: dict[int, np.ndarray] | None = None,
+    biases: list | None = None,
+) -> Field:
+    """Kernels by landcover class; a class outside the mapping is forbidden.
+
+    ``kernels`` are the user's own sets for some classes; ``biases`` move the
+    kernels' centre, ``(x, y)`` for each point.
+    """
     order = sorted(mapping)
     index = np.searchsorted(order, terrain)
     index = np.minimum(index, len(order) - 1)
     known = np.array(order)[index] == terrain
     free = known & ~np.array([mapping[c].forbidden for c in order])[index]
-    return Field(terrain.shape[1], terrain.shape[0], [kernels_of(mapping[c], kappa) for c in order], lambda t: index, free, renormalise=renormalise)
+    own = [np.asarray(kernels[c], float) if kernels and c in kernels else kernels_of(mapping[c], kappa) for c in order]
+    if biases is None:
+        return Field(terrain.shape[1], terrain.shape[0], own, lambda t: index, free, renormalise=renormalise)
+    shift = lambda t: (int(biases[t][0]), int(biases[t][1]))
+    return Field(terrain.shape[1], terrain.shape[0], own, lambda t: index, free, shift, still=False, renormalise=renormalise)
+
+
+def layers(field: Field, start: tuple[int, int], T: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """``(t, d, x, y, p)``: the forward probabilities from ``start``, point by point, two layers in memory."""
+    check_arguments(field.width, field.height, T, cells=(start,))
+    a = np.zeros((field.D, field.height, field.width))
+    a[:, start[1], start[0]] = 1 / field.D
+    box, moves = (0, field.width, 0, field.height), None
+    for t in range(T):
+        if t:
+            moves = moves if moves is not None and field.still else _Moves(field, t, box)
+            a = moves.forward(a)
+        for d, y, x in zip(*(c.tolist() for c in np.nonzero(a)), strict=True):
+            yield t, d, x, y, float(a[d, y, x])
+
+
+def layer_tables(starts: DataFrame, field_of: Callable[[dict], Field]) -> DataFrame:
+    """``(animal_id, seg, t, d, x, y, p)``: the forward probabilities of each row ``(animal_id, seg, x0, y0, T)``; written with ``sinks.writers.layers``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                rows = layers(field_of(row), (int(row["x0"]), int(row["y0"])), int(row["T"]))
+                while part := list(islice(rows, 50_000)):
+                    yield pd.DataFrame([(row["animal_id"], row["seg"], *r) for r in part], columns=["animal_id", "seg", "t", "d", "x", "y", "p"])
+
+    return starts.mapInPandas(run, "animal_id string, seg int, t int, d int, x int, y int, p double")
 
 
 def straight_line(start: tuple[int, int], end: tuple[int, int]) -> list[tuple[int, int]]:
@@ -286,7 +356,7 @@ def terrain_array(terrain: DataFrame) -> np.ndarray:
     if w is None:
         raise ValueError("the terrain is empty")
     if w * h > TERRAIN_CELLS:
-        raise ValueError(f"a terrain of {w} x {h} cells is too large to broadcast; cut it by animal")
+        raise ValueError(f"a terrain of {w} x {h} cells is too large to broadcast; use terrain_bridge, which cuts it by segment")
     rows = terrain.select("x", "y", "cls").toArrow()
     out = np.zeros((h, w), np.int64)
     out[rows["y"].to_numpy(), rows["x"].to_numpy()] = rows["cls"].to_numpy()
@@ -318,7 +388,52 @@ def bridge(segments: DataFrame, field_of: Callable[[dict], Field], seed: int = 0
                     path = straight_line(start, end) if fallback else []
                 rows = [(row["animal_id"], row["seg"], t, x, y, status) for t, (x, y) in enumerate(path)]
                 out += rows or [(row["animal_id"], row["seg"], None, None, None, status)]
+                if len(out) >= 20_000:
+                    yield pd.DataFrame(out, columns=columns).astype({"t": "Int32", "x": "Int32", "y": "Int32"})
+                    out = []
             yield pd.DataFrame(out, columns=columns).astype({"t": "Int32", "x": "Int32", "y": "Int32"})
 
     n = max(segments.sparkSession.sparkContext.defaultParallelism, 1) * 4
     return segments.repartition(n, F.xxhash64("animal_id", "seg")).mapInPandas(run, WALK)
+
+
+def terrain_bridge(segments: DataFrame, terrain: DataFrame, mapping: dict[int, KernelParams], seed: int = 0, fallback: bool = False) -> DataFrame:
+    """``bridge`` through a terrain table ``(x, y, cls)`` of any size: each segment is joined with the cells that its walk can reach.
+
+    A segment reaches its two ends and the steps of its points beyond them;
+    cells outside that box change no bridge, but for the renormalisation of
+    moves at the box's rim, which a margin of one step covers.  Cells are
+    dealt in tiles, so that this is an equi-join.
+    """
+    tile = 64
+    step = max(p.S for p in mapping.values())
+    reach = F.lit(step) * F.col("T")
+    box = segments.select(
+        "*", *(F.greatest(F.lit(0), F.least(f"{c}0", f"{c}1") - reach).cast("int").alias(f"{c}_lo") for c in "xy"),
+        *((F.greatest(f"{c}0", f"{c}1") + reach).cast("int").alias(f"{c}_hi") for c in "xy"),
+    )
+    size = terrain.agg(F.max("x").alias("w"), F.max("y").alias("h")).first()
+    if size["w"] is None:
+        raise ValueError("the terrain is empty")
+    box = box.withColumns({"x_hi": F.least("x_hi", F.lit(size["w"])), "y_hi": F.least("y_hi", F.lit(size["h"]))})
+    tiles = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}_lo") / tile), F.greatest(F.floor(F.col(f"{c}_lo") / tile), F.floor(F.col(f"{c}_hi") / tile))))
+    wanted = box.withColumn("tx", tiles("x")).withColumn("ty", tiles("y"))
+    packed = terrain.groupBy(F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).agg(F.collect_list(F.struct("x", "y", "cls")).alias("cells"))
+    keys = segments.columns
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        row = table.iloc[0].to_dict()
+        x0, y0 = int(row["x_lo"]), int(row["y_lo"])
+        grid = np.full((int(row["y_hi"]) - y0 + 1, int(row["x_hi"]) - x0 + 1), -1, np.int64)
+        for cells in table["cells"]:
+            for c in cells if cells is not None else ():
+                if y0 <= c["y"] <= row["y_hi"] and x0 <= c["x"] <= row["x_hi"]:
+                    grid[c["y"] - y0, c["x"] - x0] = c["cls"]
+        start, end = (int(row["x0"]) - x0, int(row["y0"]) - y0), (int(row["x1"]) - x0, int(row["y1"]) - y0)
+        path = [start] if start == end and row["T"] <= 1 else walk(terrain_field(grid, mapping), start, end, int(row["T"]), (seed, row["animal_id"], int(row["seg"])))
+        status = OK if path is not None else FALLBACK if fallback else UNREACHABLE
+        path = path if path is not None else straight_line(start, end) if fallback else []
+        out = [(row["animal_id"], row["seg"], t, x + x0, y + y0, status) for t, (x, y) in enumerate(path)] or [(row["animal_id"], row["seg"], None, None, None, status)]
+        return pd.DataFrame(out, columns=["animal_id", "seg", "t", "x", "y", "status"]).astype({"t": "Int32", "x": "Int32", "y": "Int32"})
+
+    return wanted.join(packed, ["tx", "ty"], "left").groupBy(*(k for k in keys if k in ("animal_id", "seg"))).applyInPandas(run, WALK)

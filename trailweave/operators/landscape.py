@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def terrain_at(cells: DataFrame, terrain: DataFrame, keys: tuple[str, ...] = ())
 
 
 def params_of(cells: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Cells with the parameters of their class; a mapping has one row a class and twelve classes at most."""
-    return cells.join(F.broadcast(mapping.withColumnRenamed("cls", "terrain")), "terrain", "left")
+    """Cells with the parameters of their class; a mapping is small, which Spark sees for itself."""
+    return cells.join(mapping.withColumnRenamed("cls", "terrain"), "terrain", "left")
 
 
 def forbidden(cells: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -83,6 +85,62 @@ def resample(raster: DataFrame, roi: tuple[int, int, int, int], width: int, heig
     return at.join(raster, ["x", "y"], "left").selectExpr("i as x", "j as y", "cls")
 
 
+def raster_window(box: tuple[float, float, float, float], transform: tuple[float, float, float, float], size: tuple[int, int]) -> tuple[int, int, int, int]:
+    """``(row0, row1, col0, col1)`` of a box ``(lon_min, lat_min, lon_max, lat_max)`` on a raster of ``size`` (width, height).
+
+    ``transform`` is west, north, and the cell's width and height.  Both
+    corners are cut to the raster's cells; ValueError if that leaves nothing.
+    """
+    west, north, dx, dy = transform
+    lon0, lat0, lon1, lat1 = box
+    cut = lambda v, n: max(0, min(math.floor(v), n - 1))
+    c0, c1 = sorted((cut((lon0 - west) / dx, size[0]), cut((lon1 - west) / dx, size[0])))
+    r0, r1 = sorted((cut((north - lat1) / dy, size[1]), cut((north - lat0) / dy, size[1])))
+    if r0 == r1 and c0 == c1:
+        raise ValueError("the box does not overlap the raster")
+    return r0, r1, c0, c1
+
+
+def resample_box(raster: DataFrame, box: tuple[float, float, float, float], transform: tuple[float, float, float, float], width: int, height: int) -> DataFrame:
+    """Nearest cells of a raster's part under a box in its own coordinates, on ``width`` x ``height`` cells."""
+    w, h = raster.agg(F.max("x") + 1, F.max("y") + 1).first()
+    if w is None:
+        raise ValueError("the raster is empty")
+    r0, r1, c0, c1 = raster_window(box, transform, (w, h))
+    step = lambda i, extent, n: f"cast(floor({i} * {extent} / {n - 1}e0) as int)" if n > 1 else "0"
+    target = raster.sparkSession.range(width * height).selectExpr(f"cast(id % {width} as int) as i", f"cast(floor(id / {width}) as int) as j")
+    at = target.selectExpr("i", "j", f"{c0} + {step('i', c1 - c0, width)} as x", f"{r0} + {step('j', r1 - r0, height)} as y")
+    return at.join(raster.select("x", "y", "cls"), ["x", "y"], "left").selectExpr("i as x", "j as y", "cls")
+
+
+def kernel_map(terrain: DataFrame, mapping: DataFrame, tensors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(x, y, kernel_id)`` for the cells that aren't forbidden, and the catalogue ``kernel_id`` with its parameters, one row a different kernel.
+
+    ``tensors`` ``(cls, name)`` are the user's own sets, which stand before the mapping's.
+    """
+    params = ["is_brownian", "S", "D", "diffusity", "bias_x", "bias_y"]
+    of = mapping.where("not forbidden")
+    if tensors is not None:
+        of = of.join(tensors.select("cls", F.col("name").alias("tensor")), "cls", "left")
+    else:
+        of = of.withColumn("tensor", F.lit(None).cast("string"))
+    own = F.when(F.col("tensor").isNull(), F.concat_ws(":", *(F.col(p).cast("string") for p in params))).otherwise(F.concat(F.lit("own:"), F.col("tensor")))
+    of = of.withColumn("kernel_id", own)
+    cells = terrain.join(of.select("cls", "kernel_id"), "cls").select("x", "y", "kernel_id")
+    return cells, of.select("kernel_id", "tensor", *params).dropDuplicates(["kernel_id"])
+
+
+def biased_kernel_map(cells: DataFrame, biases: DataFrame) -> DataFrame:
+    """``(t, x, y, kernel_id, bias_x, bias_y)``: a kernel map with one series ``(t, bias_x, bias_y)``, or one for each grid point ``(gy, gx, t, ...)`` of cells that have ``gy, gx``.
+
+    Each cell is joined with the series by its grid point; one series is a grid of one point.
+    """
+    if "gy" not in biases.columns:
+        biases, cells = biases.withColumns({"gy": F.lit(0), "gx": F.lit(0)}), cells.withColumns({"gy": F.lit(0), "gx": F.lit(0)})
+    series = biases.groupBy("gy", "gx").agg(F.collect_list(F.struct("t", "bias_x", "bias_y")).alias("b"))
+    return cells.join(series, ["gy", "gx"]).select("x", "y", "kernel_id", F.explode("b").alias("b")).select("b.t", "x", "y", "kernel_id", "b.bias_x", "b.bias_y")
+
+
 def worked_resolver(wind: str = "wind_speed", direction: str = "wind_direction", clouds: str = "cloud_cover", rain: str = "precipitation") -> dict[str, Column]:
     """Parameters from weather: step from wind, directions from its sector, spread from clouds, bias from rain and class."""
     return {

@@ -36,6 +36,38 @@ def boxes(fixes: DataFrame) -> DataFrame:
     )
 
 
+def extent(fixes: DataFrame) -> DataFrame:
+    """One row: the extent of all tracks."""
+    return valid(fixes).agg(F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"))
+
+
+def one_a_day_with_extent(fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One fix a day over all animals, and the extent of what is left with its corners in metres."""
+    daily = one_a_day(fixes, ())
+    box = extent(daily).withColumn("epsg", F.expr(geo.utm_epsg("((lon_min + lon_max) / 2e0)", "((lat_min + lat_max) / 2e0)")))
+    return daily, utm_box(box)
+
+
+def utm_box(box: DataFrame) -> DataFrame:
+    """A box with its two corners in metres of its zone ``epsg``."""
+    ax, ay = geo.to_utm("lon_min", "lat_min", "epsg")
+    bx, by = geo.to_utm("lon_max", "lat_max", "epsg")
+    return box.selectExpr("*", f"{ax} as x_min", f"{ay} as y_min", f"{bx} as x_max", f"{by} as y_max")
+
+
+def degree_box(box: DataFrame) -> DataFrame:
+    """A box in metres back in degrees, by its two corners."""
+    ax, ay = geo.from_utm("x_min", "y_min", "epsg")
+    bx, by = geo.from_utm("x_max", "y_max", "epsg")
+    names = ("lon_min", "lat_min", "lon_max", "lat_max")
+    return box.drop(*names).selectExpr("*", *(f"{e} as {n}" for e, n in zip((ax, ay, bx, by), names, strict=True)))
+
+
+def animal(fixes: DataFrame, animal_id: str) -> DataFrame:
+    """One animal's rows; pushed to the scan."""
+    return fixes.where(F.col("animal_id") == animal_id)
+
+
 def padded_boxes(fixes: DataFrame, padding: float = 0.2) -> DataFrame:
     """Extents with ``padding`` on either side, on the globe."""
     a, b = geo.padded("lon_min", "lon_max", padding, 180.0)
@@ -128,12 +160,14 @@ def regular(track: DataFrame, values: list[str], minutes: int, keys: tuple[str,
     grid = span.select(*keys, F.explode(F.sequence("a", "b", F.expr(f"interval {minutes} minutes"))).alias("ts"))
     exact = track.groupBy(*keys, "ts").agg(*(F.min(v).alias(v) for v in values))
     rows = grid.join(exact, [*keys, "ts"], "left").withColumn("__i", F.row_number().over(w))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what follows is what precedes in the other order: both frames grow with the row, none is computed again
+    before = w.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*keys).orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0)
 
     def between(v: str) -> Column:
         at = F.when(F.col(v).isNotNull(), F.col("__i"))
         i0, v0 = F.last(at, True).over(before), F.last(v, True).over(before)
-        i1, v1 = F.first(at, True).over(after), F.first(v, True).over(after)
+        i1, v1 = F.last(at, True).over(after), F.last(v, True).over(after)
         return F.when(i1.isNull() | (i1 == i0), v0).otherwise(v0 + (v1 - v0) * (F.col("__i") - i0) / (i1 - i0))
 
     return rows.select(*keys, "ts", *(between(v).alias(v) for v in values)).na.drop("any")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailweave.functions.kernels import KernelParams, kernels_of
-from trailweave.operators.bridge import Field, bridge, brownian_field, check_arguments, terrain_field
+from trailweave.operators.bridge import Field, biased_field, bridge, brownian_field, check_arguments, terrain_field
 from trailweave.operators.track import dimensions, segments, to_cells, to_degrees
 
 #: Rows of weather that may be broadcast to a time walk.
@@ -52,6 +52,34 @@ def stitch(walk: DataFrame, drop_last: bool = True, append_final: bool = False)
     return rows.where(keep & F.col("t").isNotNull()).drop("__t", "__seg")
 
 
+class ByGrid:
+    """A field for each size of grid, made once in a worker."""
+
+    def __init__(self, make: Callable[[int, int], Field]):
+        self.make, self.fields = make, {}
+
+    def __call__(self, row: dict) -> Field:
+        size = int(row["width"]), int(row["height"])
+        if size not in self.fields:
+            self.fields[size] = self.make(*size)
+        return self.fields[size]
+
+    def __getstate__(self) -> dict:
+        return {"make": self.make, "fields": {}}
+
+
+def multistep_biased(steps: DataFrame, biases: list[list], width: int, height: int, S: int = 7, kernel: np.ndarray | None = None, append_final: bool = True, seed: int = 0) -> DataFrame:
+    """A walk through all steps, each segment with a bias series of its own; a segment has as many points as its series."""
+    longest = max(map(len, biases), default=1)
+    parts = segments_of(steps, longest, width, height)
+    sizes = F.array(*(F.lit(len(b)) for b in biases))
+    parts = parts.withColumn("T", F.get(sizes, F.col("seg")))
+    if parts.where("T is null").first():
+        raise ValueError("there are more segments than bias series")
+    walk = bridge(parts, lambda row: biased_field(width, height, biases[int(row["seg"])], S, kernel), seed)
+    return stitch(walk, True, append_final)
+
+
 def multistep(steps: DataFrame, T: int, field: Field, keep_both: bool = True, append_final: bool = False, seed: int = 0) -> DataFrame:
     """A walk through all steps: ``(n - 1) * T`` points if both ends of a segment stay, else ``(n - 1) * (T - 1)``, and one with the final."""
     return stitch(bridge(segments_of(steps, T, field.width, field.height), lambda row: field, seed), not keep_both, append_final)
@@ -94,10 +122,10 @@ def weather_field(
 
 
 def by_weather(params: KernelParams, weather: tuple) -> KernelParams:
-    """The worked rule on a class's parameters: step from wind, spread from clouds, bias from rain."""
-    wind, _, clouds, rain = weather
-    S = int(min(max(1, round(wind / 2)), 8))
-    return KernelParams(True, S, 1, max(0.2, clouds / 100.0), int(rain > 0.1), 0, params.forbidden)
+    """The worked rule on a class's parameters: step from wind, directions from its sector, spread from clouds, bias from rain."""
+    wind, direction, clouds, rain = weather
+    S = int(max(1, round(wind / 2)))
+    return KernelParams(True, S, max(1, int(direction // 45)), max(0.2, clouds / 100.0), int(rain > 0.1), 0, params.forbidden)
 
 
 def weather_table(weather: DataFrame) -> dict[tuple[int, int, int], tuple]:
@@ -123,5 +151,5 @@ def track_walks(
     dims = dimensions(fixes, resolution, padding)
     cells = to_cells(fixes, dims)
     parts = segments(cells).join(dims.select("animal_id", "width", "height"), "animal_id")
-    walk = bridge(parts, field_of or (lambda row: brownian_field(int(row["width"]), int(row["height"]), S)), seed, fallback)
+    walk = bridge(parts, field_of or ByGrid(lambda width, height: brownian_field(width, height, S)), seed, fallback)
     return to_degrees(stitch(walk, append_final=True), dims)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from trailweave.functions import geo
 from trailweave.functions.kernels import (
-    correlated, gaussian_frame, kernel_frame, mapping_frame, normalised, sector_masks,
+    correlated, correlated_from, default_mapping, forbid, gaussian, gaussian_frame, kernel_frame, mapping_frame, normalised, sector_masks, with_class,
 )
 from trailweave.operators import behaviour, landscape, track, walks
 from trailweave.operators.bridge import biased_field, bridge, brownian_field, correlated_field, terrain_array, terrain_field
 from trailweave.sinks import writers
 from trailweave.sources import fixtures as fx
+from trailweave.sources import readers
 
 RESOLUTION, SAMPLE, EVERY_MINUTES = 24, 7, 360
 
@@ -416,22 +417,6 @@ def _gridded(spark, sf_dir):
     return _segments(spark, sf_dir).join(_dims(spark, sf_dir).select("animal_id", "width", "height"), "animal_id")
 
 
-class _ByGrid:
-    """A field for each size of grid, made once in a worker."""
-
-    def __init__(self, make):
-        self.make, self.fields = make, {}
-
-    def __call__(self, row):
-        size = int(row["width"]), int(row["height"])
-        if size not in self.fields:
-            self.fields[size] = self.make(*size)
-        return self.fields[size]
-
-    def __getstate__(self):
-        return {"make": self.make, "fields": {}}
-
-
 def _cut(terrain, width, height):
     """The terrain under an animal's grid; cells beyond it have a class outside the mapping, which is closed."""
     out = np.full((height, width), -1, terrain.dtype)
@@ -442,7 +427,7 @@ def _cut(terrain, width, height):
 
 @query()
 def bridge_correlated(spark, sf_dir):
-    return bridge(_gridded(spark, sf_dir), _ByGrid(lambda width, height: correlated_field(width, height, 4, 3)))
+    return bridge(_gridded(spark, sf_dir), walks.ByGrid(lambda width, height: correlated_field(width, height, 4, 3)))
 
 
 @query()
@@ -455,7 +440,7 @@ def bridge_biased(spark, sf_dir):
 def bridge_mixed(spark, sf_dir):
     """Through the terrain, water closed; ends in water can't be reached and say so."""
     grid = terrain_array(fx.terrain(spark))
-    return bridge(_gridded(spark, sf_dir), _ByGrid(lambda width, height: terrain_field(_cut(grid, width, height), fx.mapping())))
+    return bridge(_gridded(spark, sf_dir), walks.ByGrid(lambda width, height: terrain_field(_cut(grid, width, height), fx.mapping())))
 
 
 @query()
@@ -471,7 +456,7 @@ def bridge_invariants(spark, sf_dir):
     """Violations in all Brownian bridges: a walk has T points, its ends, steps of the kernel's size, cells of the grid."""
     segs = _segments(spark, sf_dir)
     parts = segs.join(_dims(spark, sf_dir).select("animal_id", "width", "height"), "animal_id")
-    walk = bridge(parts, lambda row: brownian_field(int(row["width"]), int(row["height"]), 3))
+    walk = bridge(parts, walks.ByGrid(lambda width, height: brownian_field(width, height, 3)))
     from pyspark.sql import Window
 
     w = Window.partitionBy("animal_id", "seg").orderBy("t")
@@ -496,7 +481,7 @@ def bridge_invariants(spark, sf_dir):
 def multistep_lengths(spark, sf_dir):
     """Points of the stitched walks under each convention."""
     parts = _segments(spark, sf_dir).join(_dims(spark, sf_dir).select("animal_id", "width", "height"), "animal_id")
-    walk = bridge(parts, lambda row: brownian_field(int(row["width"]), int(row["height"]), 3))
+    walk = bridge(parts, walks.ByGrid(lambda width, height: brownian_field(width, height, 3)))
     count = lambda kind, rows: rows.agg(F.lit(kind).alias("kind"), F.count("x").alias("points"))
     return count("both_ends", walk).union(count("drop_last", walks.stitch(walk))).union(count("with_final", walks.stitch(walk, append_final=True)))
 
@@ -509,7 +494,10 @@ def walk_json(spark, sf_dir):
     return writers.walk_json(_cells(spark, sf_dir), ["animal_id"], order=("ts", "event_id"))
 
 
-@query()
+@query(
+    _V + " select animal_id, '{\"type\":\"Feature\",\"properties\":{\"animal_id\":\"' || animal_id || '\"},\"geometry\":{\"type\":\"LineString\",\"coordinates\":['"
+    " || string_agg('[' || lon || ',' || lat || ']', ',' order by ts, event_id) || ']}}' as json from v group by animal_id"
+)
 def walk_geojson(spark, sf_dir):
     return writers.walk_geojson(track.valid(fx.fixes(spark, sf_dir)), ["animal_id"], order=("ts", "event_id"))
 
@@ -531,3 +519,192 @@ def step_boxes(spark, sf_dir):
     path = track.ordered(track.valid(fx.fixes(spark, sf_dir))).select("animal_id", F.col("t").alias("idx"), "lat", "lon")
     steps = path.where("idx % 3 = 0").select("animal_id", F.col("idx").alias("step"), (F.col("lat") + 4e-6).alias("lat"), (F.col("lon") - 4e-6).alias("lon"))
     return writers.step_boxes(path, steps, ["animal_id"])
+
+
+@query(_V + " select min(lon) as lon_min, max(lon) as lon_max, min(lat) as lat_min, max(lat) as lat_max from v")
+def bbox_global(spark, sf_dir):
+    return track.extent(fx.fixes(spark, sf_dir))
+
+
+_EXTENT = "min(lon) as lon_min, max(lon) as lon_max, min(lat) as lat_min, max(lat) as lat_max"
+
+
+@query(
+    _V + f", o as ({_DAY.format(key="date_trunc('day', ts)")}), x as (select {_EXTENT} from o), q as (select *, {_E} as epsg from x)"
+    f" select epsg, {_r(_BOX, 9)}, round({_AX}, 3) as x_min, round({_AY}, 3) as y_min, round({_BX}, 3) as x_max, round({_BY}, 3) as y_max from q"
+)
+def one_fix_per_day_box(spark, sf_dir):
+    box = track.one_a_day_with_extent(fx.fixes(spark, sf_dir))[1]
+    return box.select("epsg", *(F.round(c, 9).alias(c) for c in _BOX), *(F.round(c, 3).alias(c) for c in _UTM))
+
+
+_TOP = "(select min(animal_id) from fixes)"
+
+
+@query(_V + f" select event_id, ts from fixes where animal_id = {_TOP}")
+def animal_filter(spark, sf_dir):
+    fixes = fx.fixes(spark, sf_dir)
+    first = fixes.agg(F.min("animal_id")).first()[0]
+    return track.animal(fixes, first).select("event_id", "ts")
+
+
+@query(_V + " select event_id, animal_id, ts, lon, lat from v where ts between timestamp '2024-01-08 06:00:00' and timestamp '2024-01-20 18:00:00' and lon between -60 and 0 and lat between -60 and 0")
+def time_range_filter(spark, sf_dir):
+    return track.within(track.valid(fx.fixes(spark, sf_dir)), -60, 0, -60, 0, "2024-01-08 06:00:00", "2024-01-20 18:00:00")
+
+
+@query(
+    _D + f", u as (select animal_id, {geo.from_utm('x_min', 'y_min', 'epsg')[0]} as lon_min, {geo.from_utm('x_min', 'y_min', 'epsg')[1]} as lat_min,"
+    f" {geo.from_utm('x_max', 'y_max', 'epsg')[0]} as lon_max, {geo.from_utm('x_max', 'y_max', 'epsg')[1]} as lat_max from d) select animal_id, {_r(_BOX, 7)} from u"
+)
+def bbox_from_utm(spark, sf_dir):
+    return track.degree_box(_dims(spark, sf_dir)).select("animal_id", *(F.round(c, 7).alias(c) for c in _BOX))
+
+
+_LOOSE = geo.grid_index_loose("east", "north", ("x_min", "y_min", "x_max", "y_max"), "width", "height")
+
+
+@query(
+    _D + f", e as (select f.event_id, f.lon, f.lat, d.*, {geo.to_utm('f.lon', 'f.lat', 'epsg')[0]} as east, {geo.to_utm('f.lon', 'f.lat', 'epsg')[1]} as north from fixes f join d using (animal_id))"
+    f" select event_id, {_LOOSE[0]} as x, {_LOOSE[1]} as y from e"
+)
+def grid_cells_loose(spark, sf_dir):
+    """Fixes without a place land in the first cell."""
+    dims = _dims(spark, sf_dir).drop("lon_min", "lon_max", "lat_min", "lat_max")
+    east, north = geo.to_utm("lon", "lat", "epsg")
+    at = fx.fixes(spark, sf_dir).join(dims, "animal_id").selectExpr("*", f"{east} as east", f"{north} as north")
+    return at.selectExpr("event_id", f"{_LOOSE[0]} as x", f"{_LOOSE[1]} as y")
+
+
+_RASTER, _ROI = (-52.5, -22.25, 1 / 128, 1 / 128), (-52.42, -22.55, -52.1, -22.3)
+
+
+@query(
+    f"with {_T}, g as (select i::int as i, j::int as j, 10 + floor(i * 41 / 24e0)::int as x, 6 + floor(j * 32 / 17e0)::int as y from range(25) a(i), range(18) b(j))"
+    " select i as x, j as y, cls from g join terrain using (x, y)"
+)
+def raster_window(spark, sf_dir):
+    """A raster's part under a box in degrees, on 25 by 18 cells."""
+    return landscape.resample_box(fx.terrain(spark), _ROI, _RASTER, 25, 18)
+
+
+@query(_P + f" select animal_id, {geo.file_name('landcover', ('lon_min', 'lat_min', 'lon_max', 'lat_max'))} as name from p")
+def landcover_names(spark, sf_dir):
+    name = geo.file_name("landcover", ("lon_min", "lat_min", "lon_max", "lat_max"))
+    return track.padded_boxes(fx.fixes(spark, sf_dir)).selectExpr("animal_id", f"{name} as name")
+
+
+_KEY = geo.layers_key("4", "width", "height", "T", "x0", "y0", "0")
+
+
+@query(_S + f" select animal_id, seg, {_KEY} as key from s join d using (animal_id)")
+def layers_keys(spark, sf_dir):
+    return _gridded(spark, sf_dir).selectExpr("animal_id", "seg", f"{_KEY} as key")
+
+
+@query(f"with {_T}, {_M} select x, y, is_brownian, S, D, diffusity, bias_x, bias_y from terrain join mapping using (cls) where not forbidden")
+def terrain_kernel_map(spark, sf_dir):
+    cells, catalogue = landscape.kernel_map(fx.terrain(spark), fx.mapping_table(spark))
+    return cells.join(catalogue, "kernel_id").select("x", "y", "is_brownian", "S", "D", "diffusity", "bias_x", "bias_y")
+
+
+@query(f"with {_T}, {_M} select case when cls in (20, 40) then 'open' end as tensor, count(*) as cells from terrain join mapping using (cls) where not forbidden group by 1")
+def terrain_kernel_map_own(spark, sf_dir):
+    own = spark.createDataFrame([(20, "open"), (40, "open")], "cls int, name string")
+    cells, catalogue = landscape.kernel_map(fx.terrain(spark), fx.mapping_table(spark), own)
+    return cells.join(catalogue, "kernel_id").groupBy("tensor").agg(F.count("*").alias("cells"))
+
+
+_BIAS = "select t::int as t, (t % 3 - 1)::int as bias_x, (t % 2)::int as bias_y from range(6) r(t)"
+
+
+@query(f"with {_T}, {_M}, b as ({_BIAS}) select t, x, y, S, b.bias_x, b.bias_y from terrain join mapping m using (cls), b where not forbidden")
+def biased_kernel_map(spark, sf_dir):
+    cells, catalogue = landscape.kernel_map(fx.terrain(spark), fx.mapping_table(spark))
+    series = spark.range(6).selectExpr("cast(id as int) as t", "cast(id % 3 - 1 as int) as bias_x", "cast(id % 2 as int) as bias_y")
+    return landscape.biased_kernel_map(cells, series).join(catalogue.select("kernel_id", "S"), "kernel_id").select("t", "x", "y", "S", "bias_x", "bias_y")
+
+
+@query(
+    f"with {_T}, {_M}, {_WX}, c as (select *, floor(x * 5 / 64e0)::int as gx, 4 - floor(y * 5 / 48e0)::int as gy from terrain join mapping using (cls) where not forbidden),"
+    " b as (select gx, gy, epoch(ts - timestamp '2024-01-01')::int // 3600 as t, (wind_speed > 10)::int as bx, (precipitation > 1e-1)::int as bz from weather)"
+    " select t::int as t, x, y, bx as bias_x, bz as bias_y from c join b using (gx, gy) where t < 4"
+)
+def biased_grid_map(spark, sf_dir):
+    """Biases from the weather of each cell's grid point over four hours."""
+    cells, _ = landscape.kernel_map(fx.terrain(spark), fx.mapping_table(spark))
+    cells = cells.selectExpr("*", f"cast(floor(x * 5 / {fx.WIDTH}) as int) as gx", f"4 - cast(floor(y * 5 / {fx.HEIGHT}) as int) as gy")
+    hours = fx.weather(spark).where("ts < timestamp_ntz'2024-01-01 04:00:00'").selectExpr(
+        "gy", "gx", "hour(ts) as t", "cast(wind_speed > 10 as int) as bias_x", "cast(precipitation > 0.1 as int) as bias_y"
+    )
+    return landscape.biased_kernel_map(cells, hours).select("t", "x", "y", "bias_x", "bias_y")
+
+
+@query(
+    "with g as (select y::int as dy, x::int as dx, exp(-(x * x + y * y) / (2 * 2e0 * 2e0)) as g from range(-2, 3) a(x), range(-2, 3) b(y))"
+    " select dy, dx, round(g / (select sum(g) from g), 9) as w from g"
+)
+def gaussian_floored(spark, sf_dir):
+    """A spread of 1 brought up to the floor of 2."""
+    return kernel_frame(spark, gaussian(2, 1.0, floor=2.0)[None]).select("dy", "dx", F.round("w", 9).alias("w"))
+
+
+def _mapping_sql(closed: str, straight: str, S: int) -> str:
+    return (
+        f"select c::int as cls, c in ({closed}) as forbidden, c not in ({straight}) as is_brownian, {S}::int as S, (case when c in ({straight}) then 8 else 1 end)::int as D,"
+        " 1.0::float as diffusity, 0::int as bias_x, 0::int as bias_y from unnest([10,20,30,40,50,60,70,80,90,95,100]) t(c)"
+    )
+
+
+@query(_mapping_sql("80", "30, 40, 60, 100", 7))
+def mapping_default(spark, sf_dir):
+    return mapping_frame(spark, default_mapping("mixed", "MEDIUM", 7))
+
+
+@query(_mapping_sql("70", "30, 40, 60, 100", 4))
+def mapping_amphibian(spark, sf_dir):
+    return mapping_frame(spark, default_mapping("mixed", "AMPHIBIAN", 4))
+
+
+@query(f"select cls, forbidden or cls = 10 as forbidden, is_brownian or cls = 30 as is_brownian, (case when cls = 30 then 9 else S end)::int as S, (case when cls = 30 then 1 else D end)::int as D, diffusity, bias_x, bias_y from ({_mapping_sql('80', '30, 40, 60, 100', 7)})")
+def mapping_changed(spark, sf_dir):
+    """One class Brownian with a longer step, one forbidden."""
+    return mapping_frame(spark, forbid(with_class(default_mapping("mixed", "MEDIUM", 7), 30, is_brownian=True, S=9), 10))
+
+
+@query("select (i % 12)::int as x, (i // 12)::int as y, 30 as cls from range(12 * 7) t(i)")
+def constant_terrain(spark, sf_dir):
+    return readers.constant_terrain(spark, 30, 12, 7)
+
+
+@query(
+    "with b as (select round(exp(-(x * x + y * y) / 45e-1), 6) + x * 1e-2 + y * 3e-2 + 1 as v, y, x from range(-3, 4) a(x), range(-3, 4) c(y))"
+    " select (case d when 0 then y when 1 then x when 2 then -y else -x end)::int as dy, (case d when 0 then x when 1 then -y when 2 then -x else y end)::int as dx,"
+    " d::int as d, round(v / (select sum(v) from b), 9) as w from b, range(4) r(d)"
+)
+def kernels_turned(spark, sf_dir):
+    """A kernel turned by quarters, which is exact."""
+    base = np.array([[round(float(np.exp(-(x * x + y * y) / 4.5)), 6) + x * 0.01 + y * 0.03 + 1 for x in range(-3, 4)] for y in range(-3, 4)])
+    return kernel_frame(spark, correlated_from(base / base.sum(), 4)).select("d", "dy", "dx", F.round("w", 9).alias("w"))
+
+
+@query(
+    _C + _STEP + " select animal_id, round(case when s < 0 then s + 2 * pi() else s end, 7) as mean_bearing from (select animal_id, atan2(sum(sin(bearing)), sum(cos(bearing))) as s from k group by animal_id)"
+)
+def mean_bearing(spark, sf_dir):
+    return behaviour.summary(_steps(spark, sf_dir)).select("animal_id", F.round("mean_bearing", 7).alias("mean_bearing"))
+
+
+@query(
+    _C + _STEP + ", z as (select animal_id, median(case when step / nullif(dt, 0) > 0 then step / nullif(dt, 0) end) as m from k group by animal_id)"
+    " select animal_id, round(75e-2 * m + 25e-2 * 1005e-3, 7) as speed, round((75e-2 * m + 25e-2 * 1005e-3) * 36e-1, 6) as speed_kmh from z"
+)
+def speed_with_prior(spark, sf_dir):
+    got = behaviour.summary(_steps(spark, sf_dir), prior_weight=0.25, use_prior=True)
+    return got.select("animal_id", F.round("speed", 7).alias("speed"), F.round("speed_kmh", 6).alias("speed_kmh"))
+
+
+@query(_S + " select count(*) as segments, count(*) filter (x0 < 0 or x0 >= width or y0 < 0 or y0 >= height or x1 < 0 or x1 >= width or y1 < 0 or y1 >= height) as outside from s join d using (animal_id)")
+def segments_in_bounds(spark, sf_dir):
+    at = lambda k: F.col(f"x{k}").between(0, F.col("width") - 1) & F.col(f"y{k}").between(0, F.col("height") - 1)
+    return _gridded(spark, sf_dir).agg(F.count("*").alias("segments"), F.count_if(~(at(0) & at(1))).alias("outside"))

@@ -90,9 +90,9 @@ def map_html(features: list[str], title: str = "walks", colours: list[str] | Non
     return f"<!doctype html><title>{html.escape(title)}</title><svg viewBox='-10 -10 820 820'>{''.join(body)}</svg>"
 
 
-def plot_frame(walk: DataFrame, most: int = 100_000) -> DataFrame:
-    """A walk's points in order, for a plot drawn elsewhere; a plot takes ``most`` points."""
-    return walk.orderBy("animal_id", "seg", "t").limit(most)
+def plot_frame(walk: DataFrame) -> DataFrame:
+    """All points of all walks, each walk's in order and in one part, for plots drawn elsewhere."""
+    return walk.repartition("animal_id").sortWithinPartitions("animal_id", "seg", "t")
 
 
 def terrain_text(terrain: DataFrame, path: str) -> None:
@@ -115,3 +115,31 @@ def kernel_data(frame: DataFrame, path: str) -> None:
 def kernels(frame: DataFrame, path: str, partition: tuple[str, ...] = ("t",)) -> None:
     """A kernel catalogue or a table of forward probabilities, by time."""
     frame.write.partitionBy(*partition).parquet(path)
+
+
+def layers(frame: DataFrame, path: str) -> None:
+    """Forward probabilities ``(animal_id, seg, t, d, x, y, p)``, a folder for each point in time, ordered by cell within."""
+    frame.repartition("t").sortWithinPartitions("t", "animal_id", "seg", "y", "x").write.partitionBy("t").parquet(path)
+
+
+def matrix(frame: DataFrame, path: str) -> None:
+    """A matrix ``(y, x, v)`` or a tensor ``(d, y, x, v)``."""
+    frame.write.parquet(path)
+
+
+def matrix_text(rows: list, digits: int = 4) -> str:
+    """A small matrix ``(y, x, v)`` as lines of numbers."""
+    cells = {(r["y"], r["x"]): r["v"] for r in rows}
+    ys, xs = sorted({y for y, _ in cells}), sorted({x for _, x in cells})
+    return "\n".join(" ".join(f"{cells.get((y, x), 0.0):.{digits}f}" for x in xs) for y in ys)
+
+
+def weather_track_csv(frame: DataFrame, path: str) -> None:
+    """Weather along tracks with the index of each row on its track in front, a folder for each animal."""
+    from trailweave.operators.track import ordered
+
+    rows = ordered(frame) if "t" not in frame.columns else frame
+    rest = [c for c in rows.columns if c not in ("t", "animal_id")]
+    rows.select("animal_id", F.col("t").alias("index"), *rest).repartition("animal_id").sortWithinPartitions("animal_id", "index").write.partitionBy("animal_id").option(
+        "header", True
+    ).csv(path)

@@ -119,3 +119,24 @@ def remote_credentials(user_variable: str = "TRACK_USER", password_variable: str
     if not user or not password:
         raise PermissionError(f"set {user_variable} and {password_variable}")
     return user, password
+
+
+def raster_text(spark: SparkSession, path: str, transform: tuple[float, float, float, float], delimiter: str = " ") -> DataFrame:
+    """``(x, y, cls, lon, lat)`` of a text grid with its place: ``transform`` is west, north, and the cell's width and height."""
+    west, north, dx, dy = transform
+    return terrain_text(spark, path, delimiter).withColumns({"lon": west + (F.col("x") + 0.5) * dx, "lat": north - (F.col("y") + 0.5) * dy})
+
+
+def raster_parquet(spark: SparkSession, path: str, band: str = "band_1") -> DataFrame:
+    """``(x, y, cls)`` of a raster kept as rows ``col, row`` and a column a band."""
+    return spark.read.parquet(path).select(F.col("col").cast("int").alias("x"), F.col("row").cast("int").alias("y"), F.col(band).cast("int").alias("cls"))
+
+
+def layers(spark: SparkSession, path: str, t: int | None = None) -> DataFrame:
+    """Forward probabilities written by ``sinks.writers.layers``; one point in time reads one folder."""
+    out = spark.read.parquet(path)
+    return out if t is None else out.where(F.col("t") == t)
+
+
+def matrix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
