@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
@@ -83,6 +84,11 @@ def cut(text: str, k: int) -> list[tuple[int, int]]:
     return list(pairwise(len(text) * j // (k + 1) for j in range(k + 2)))
 
 
+@lru_cache(maxsize=20_000)
+def grams_of(pattern: str) -> list[str]:
+    return [pattern[j : j + Q] for j in range(len(pattern) - Q + 1)]
+
+
 def best_place(text: str, pattern: str, k: int, starts: list[int], short: bool) -> tuple[int, int, int] | None:
     """``(distance, start, end)`` of an item's best place about some ``starts``, the first of equals."""
     if short:
@@ -98,7 +104,7 @@ def best_place(text: str, pattern: str, k: int, starts: list[int], short: bool)
             spans[-1][1] = hi
         else:
             spans.append([lo, hi])
-    grams = [pattern[j : j + Q] for j in range(len(pattern) - Q + 1)]
+    grams = grams_of(pattern)
     for lo, hi in spans:
         window = text[lo:hi]
         have = {window[j : j + Q] for j in range(len(window) - Q + 1)}
