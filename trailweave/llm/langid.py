@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.bytestream import before, grams, pieces, release, stream, sums
+from trailweave.llm.bytestream import before, grams, pieces, release, stream, sums, trim
 from trailweave.llm.scratch import free_names, materialise
 
 ORDER = 3
@@ -153,14 +153,17 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, most: int = TABLE_B
     draw = F.pmod(F.xxhash64("id", F.xxhash64("text"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             names = np.array(batch.column("lang").to_pylist(), object)
             for name in sorted(set(names.tolist())):
                 data, bounds = lower_bytes(batch.column("text").take(pa.array(np.flatnonzero(names == name))))
                 key, n = np.unique(grams(data, bounds, ORDER), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
+        trim()
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(lower_bytes(batch.column(0))[0]).astype(np.int64))], ["byte"])
 

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailweave.llm.bytestream import held
+from trailweave.llm.bytestream import held, trim
 
 MARK = "▁"
 #: Words that each of a worker's two generations keeps, and the longest of them.
@@ -285,6 +285,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                      *([pa.array([i for i, _ in got], pa.binary()), pa.array([d for _, d in got], pa.string())] if outputs else [])],
                     ["id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if outputs else [])],
                 )
+        trim()
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * outputs
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
@@ -306,6 +307,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([table.count(t) for t in part.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"]
                 )
+        trim()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "id long, n_tokens long"
