@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from dataclasses import field as dataclass_field
@@ -20,6 +21,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ MEMORY = 256 << 20
 OK, UNREACHABLE, FALLBACK = "OK", "UNREACHABLE", "FALLBACK"
 #: Cells of a terrain that may be broadcast.
 TERRAIN_CELLS = 64_000_000
+#: States of a grid whose moves are tabled, so that its walks are drawn many at a time; and those up to which the table is a matrix.
+TABLE_STATES, MATRIX_STATES = 4096, 724
+#: Bytes of layers, and of tables, that drawing many walks keeps.
+TABLE_MEMORY = 128 << 20
 
 
 def check_arguments(width: int, height: int, T: int, S: int | None = None, D: int | None = None, cells: tuple = ()) -> None:
@@ -47,6 +53,13 @@ def uniform(*key) -> float:
     return int(hashlib.md5(repr(key).encode()).hexdigest()[:13], 16) / 16**13
 
 
+def uniforms(heads: list[bytes], last) -> np.ndarray:
+    """``uniform(*key, last)`` of many keys, whose texts without the bracket at the end are the ``heads``; ``last`` may be one for each."""
+    tails = [f", {t})".encode() for t in last.tolist()] if isinstance(last, np.ndarray) else [f", {last!r})".encode()] * len(heads)
+    raw = b"".join([hashlib.md5(head + tail).digest() for head, tail in zip(heads, tails, strict=True)])
+    return (np.frombuffer(raw, ">u8")[::2] >> np.uint64(12)).astype(float) / 16**13
+
+
 @dataclass
 class Field:
     """What a walk moves through.
@@ -201,6 +214,159 @@ class _Moves:
         return 0, py - r0 - k // (c1 - c0), px - c0 - k % (c1 - c0)
 
 
+class _Table:
+    """The moves to a point between all states ``(d, y, x)`` of a grid, numbered in row order, for many walks at once.
+
+    The predecessors of a state stand in the order in which ``_Moves.back``
+    takes them: by class, direction and offset.  In a small grid that is one
+    order of all states for every target, and the weights are a matrix.
+    """
+
+    def __init__(self, moves: _Moves):
+        D, (h, w) = moves.D, moves.free.shape
+        self.n = D * h * w
+        sources, targets, weights_, order = [], [], [], []
+        for own, shifts, weights, scale, masks, turn, _ in moves.parts:
+            # the offsets to a target rise as its sources fall
+            y, x = (c[::-1] for c in np.nonzero(own))
+            ty, tx = y[:, None] + shifts[:, 0], x[:, None] + shifts[:, 1]
+            inside = (ty >= 0) & (ty < h) & (tx >= 0) & (tx < w)
+            inside[inside] = moves.free[ty[inside], tx[inside]]
+            i, j = np.nonzero(inside)
+            source, target = (y * w + x)[i], (ty * w + tx)[i, j]
+            for k in range(D):
+                order.append(k * h * w + y * w + x)
+                p = weights[turn[k], j] * scale[turn[k], y[i], x[i]]
+                for d in range(D):
+                    q = p * masks[d, j]
+                    some = q > 0
+                    sources.append(source[some] + k * h * w)
+                    targets.append(target[some] + d * h * w)
+                    weights_.append(q[some])
+        source, target, weight = (np.concatenate(c) if c else np.zeros(0, t) for c, t in ((sources, int), (targets, int), (weights_, float)))
+        self.matrix = self.n <= MATRIX_STATES
+        if self.matrix:
+            self.order = np.concatenate(order) if order else np.arange(self.n)
+            place = np.argsort(self.order)
+            self.weight = np.zeros((self.n, self.n))
+            self.weight[target, place[source]] = weight
+            self.bytes = self.weight.nbytes
+            return
+        by = np.argsort(target, kind="stable")
+        self.flat_source, self.flat_weight = source[by], weight[by]
+        count = np.bincount(target, minlength=self.n)
+        self.filled = np.flatnonzero(count)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        self.first = first[self.filled]
+        width = max(1, int(count.max()))
+        self.source, self.weight = np.zeros((self.n, width), np.int32), np.zeros((self.n, width))
+        at = target[by], np.arange(len(by)) - np.repeat(first, count)
+        self.source[at], self.weight[at] = self.flat_source, self.flat_weight
+        self.bytes = self.source.nbytes + self.weight.nbytes + 16 * len(by)
+
+    def forward(self, a: np.ndarray) -> np.ndarray:
+        """Layers, one a row, moved on and divided by their sums."""
+        if self.matrix:
+            out = a[:, self.order] @ self.weight.T
+        else:
+            out = np.zeros_like(a)
+            if len(self.filled):
+                for row, layer in zip(out, a, strict=True):
+                    row[self.filled] = np.add.reduceat(layer[self.flat_source] * self.flat_weight, self.first)
+        out[out <= 1e-300] = 0.0
+        total = out.sum(1, keepdims=True)
+        return out / np.where(total > 0, total, 1.0)
+
+    def back(self, layers: np.ndarray, row: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """A predecessor of each state by the layer ``layers[row]`` before it; -1 where there is none."""
+        out = np.empty(len(state), int)
+        block = max(1, (4 << 20) // (8 * self.weight.shape[1]))
+        for b in range(0, len(state), block):
+            r, s, v = row[b : b + block], state[b : b + block], u[b : b + block]
+            p = self.weight[s]
+            p *= layers[r][:, self.order] if self.matrix else layers[r[:, None], self.source[s]]
+            total = np.cumsum(p, 1, out=p)[:, -1]
+            k = (p <= (v * total)[:, None]).sum(1)
+            k = np.where(k < p.shape[1], k, (p < total[:, None]).sum(1))
+            k = np.minimum(k, p.shape[1] - 1)
+            found = self.order[k] if self.matrix else self.source[s, k]
+            out[b : b + block] = np.where(total > 0, found, -1)
+        return out
+
+
+class _Tables:
+    """The tables of a task, by grid, directions and label; those not used for longest go first."""
+
+    def __init__(self, field_of):
+        self.field_of, self.kept = field_of, OrderedDict()
+
+    def __call__(self, size: tuple[int, int], D: int, first, label) -> _Table:
+        key = size, D, label
+        if key not in self.kept:
+            field = self.field_of.field(size, first, label)
+            self.kept[key] = _Table(_Moves(field, 1, (0, size[0], 0, size[1])))
+            while len(self.kept) > 1 and sum(t.bytes for t in self.kept.values()) > TABLE_MEMORY:
+                self.kept.popitem(last=False)
+        self.kept.move_to_end(key)
+        return self.kept[key]
+
+
+def walk_many(
+    tables: _Tables, size: tuple[int, int], D: int, first, start: np.ndarray, end: np.ndarray, T: np.ndarray, labels: np.ndarray | None, heads: list[bytes],
+    end_direction: int | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
+    """``walk`` for many segments of one grid, from cell to cell ``y * width + x``: ``[segment, t]`` cells, and whether each end was reached.
+
+    ``labels[segment, t]`` name the moves to point ``t``; without them all
+    points have the same, and segments of one start share their layers.
+    """
+    cells = size[0] * size[1]
+    n, N = D * cells, len(T)
+    path = np.full((N, int(T.max())), -1, np.int32)
+    reached = np.zeros(N, bool)
+    line, lineage = np.unique(start, return_inverse=True) if labels is None else (start, np.arange(N))
+    points = np.zeros(len(line), int)
+    np.maximum.at(points, lineage, T)
+    piece = (np.cumsum(points) - 1) // max(1, TABLE_MEMORY // (8 * n))
+    for one in np.unique(piece).tolist():
+        lines, mine = np.flatnonzero(piece == one), np.flatnonzero(piece[lineage] == one)
+        base = np.zeros(len(line), int)
+        base[lines] = np.cumsum(points[lines]) - points[lines]
+        layers = np.zeros((int(points[lines].sum()), n))
+        for d in range(D):
+            layers[base[lines], d * cells + line[lines]] = 1 / D
+        # a table at a time: all lines whose next point has its label move on, as far as it goes
+        t, live = np.ones(len(lines), int), np.flatnonzero(points[lines] > 1)
+        while len(live):
+            label = np.zeros(len(live), int) if labels is None else labels[lines[live], t[live]]
+            now = int(label.min())
+            which = live[label == now]
+            at = base[lines[which]] + t[which]
+            layers[at] = tables(size, D, first, now).forward(layers[at - 1])
+            t[which] += 1
+            live = live[t[live] < points[lines[live]]]
+        base, t = base[lineage[mine]], T[mine] - 1
+        last = layers[(base + t)[:, None], np.arange(D) * cells + end[mine, None]]
+        u = uniforms([heads[i] for i in mine], "d") if D > 1 else np.zeros(len(mine))
+        d = np.minimum((np.cumsum(last, 1) <= (u * last.sum(1))[:, None]).sum(1), D - 1)
+        if end_direction is not None:
+            d = np.where(last[:, end_direction % D] > 0, end_direction % D, d)
+        state = np.where(last.sum(1) > 0, d * cells + end[mine], -1)
+        path[mine, t] = end[mine]
+        live = np.flatnonzero((state >= 0) & (t > 0))
+        while len(live):
+            label = np.zeros(len(live), int) if labels is None else labels[mine[live], t[live]]
+            now = int(label.max())
+            which = live[label == now]
+            v = uniforms([heads[i] for i in mine[which]], t[which])
+            state[which] = tables(size, D, first, now).back(layers, (base + t)[which] - 1, state[which], v)
+            t[which] -= 1
+            path[mine[which], t[which]] = state[which] % cells
+            live = live[(t[live] > 0) & (state[live] >= 0)]
+        reached[mine] = state >= 0
+    return path, reached
+
+
 def _box(field: Field, start: tuple[int, int], end: tuple[int, int], T: int) -> tuple[int, int, int, int]:
     reach = 0
     for t in range(1, T) if not field.still else (1,):
@@ -369,8 +535,12 @@ def bridge(segments: DataFrame, field_of: Callable[[dict], Field], seed: int = 0
     ``field_of`` makes the field of a segment's row.  A segment without
     length gives its point once.  One whose end can't be reached gives a row
     of status UNREACHABLE without a cell, or its two ends if ``fallback``.
-    Segments are dealt evenly, since their costs differ widely.
+    Segments are dealt evenly, since their costs differ widely.  Where
+    ``field_of`` shares its moves between rows (``walks.ByGrid``)
+    those alike are dealt together and drawn many at a time.
     """
+    if hasattr(field_of, "field"):
+        return _bridge_shared(segments, field_of, seed, fallback, end_direction)
     columns = ["animal_id", "seg", "t", "x", "y", "status"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -397,6 +567,76 @@ def bridge(segments: DataFrame, field_of: Callable[[dict], Field], seed: int = 0
     return segments.repartition(n, F.xxhash64("animal_id", "seg")).mapInPandas(run, WALK)
 
 
+def _bridge_shared(segments: DataFrame, field_of, seed: int, fallback: bool, end_direction: int | None) -> DataFrame:
+    """``bridge`` with a ``field_of`` whose rows of one ``width, height`` move by the same tables."""
+
+    def paths(batch: pa.RecordBatch, tables: _Tables) -> list[np.ndarray | None]:
+        """Each row's cells ``(x, y)``; None where the end can't be reached."""
+        names = ["width", "height", "x0", "y0", "x1", "y1", "T"]
+        width, height, x0, y0, x1, y1, T = (batch.column(c).to_numpy(zero_copy_only=False).astype(int) for c in names)
+        out: list[np.ndarray | None] = [None] * batch.num_rows
+        still = (x0 == x1) & (y0 == y1) & (T <= 1)
+        for i in np.flatnonzero(still):
+            out[i] = np.array([[x0[i], y0[i]]])
+        bad = ~still & ((T <= 0) | (np.minimum(np.minimum(x0, x1), np.minimum(y0, y1)) < 0) | (np.maximum(x0, x1) >= width) | (np.maximum(y0, y1) >= height))
+        for i in np.flatnonzero(bad):
+            check_arguments(int(width[i]), int(height[i]), int(T[i]), cells=((x0[i], y0[i]), (x1[i], y1[i])))
+        move = np.flatnonzero(~still & (T > 1))
+        labels = field_of.labels(batch)
+        first = np.zeros(len(T), int) if labels is None else labels[:, 0]
+        heads = [repr((seed, a, s))[:-1].encode() for a, s in zip(batch.column("animal_id").to_pylist(), batch.column("seg").to_pylist(), strict=True)]
+        kinds: dict[tuple, list[int]] = {}
+        for i in move.tolist():
+            size = int(width[i]), int(height[i])
+            kinds.setdefault((size, field_of.directions(size, int(first[i]))), []).append(i)
+        for (size, D), rows in kinds.items():
+            if D * size[0] * size[1] > TABLE_STATES:
+                table = batch.take(pa.array(rows)).to_pandas().to_dict("records")
+                for i, r in zip(rows, table, strict=True):
+                    path = walk(field_of(r), (int(x0[i]), int(y0[i])), (int(x1[i]), int(y1[i])), int(T[i]), (seed, r["animal_id"], int(r["seg"])), end_direction)
+                    out[i] = None if path is None else np.array(path)
+                continue
+            i, one = np.array(rows), int(first[rows[0]])
+            is_open = field_of.field(size, one, one).open
+            if is_open is not None:
+                i = i[is_open[y0[i], x0[i]] & is_open[y1[i], x1[i]]]
+            if not len(i):
+                continue
+            part = None if labels is None else labels[i]
+            cells, reached = walk_many(tables, size, D, one, y0[i] * size[0] + x0[i], y1[i] * size[0] + x1[i], T[i], part, [heads[k] for k in i], end_direction)
+            for k, c, ok in zip(i.tolist(), cells, reached.tolist(), strict=True):
+                if ok:
+                    c = c[: T[k]]
+                    out[k] = np.stack([c % size[0], c // size[0]], 1)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _Tables(field_of)
+        names, kinds = ["animal_id", "seg", "t", "x", "y", "status"], pa.array([OK, FALLBACK, UNREACHABLE])
+        for batch in batches:
+            for start in range(0, batch.num_rows, 5000):
+                part = batch.slice(start, 5000)
+                found = paths(part, tables)
+                status = np.array([0 if p is not None else 1 if fallback else 2 for p in found])
+                if fallback and status.any():
+                    x0, y0, x1, y1 = (part.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))
+                    found = [p if p is not None else np.array(straight_line((x0[i], y0[i]), (x1[i], y1[i]))) for i, p in enumerate(found)]
+                none = np.zeros((1, 2), int)
+                size = np.array([1 if p is None else len(p) for p in found])
+                at = np.repeat(np.arange(len(found)), size)
+                xy = np.concatenate([none if p is None else p for p in found]).astype(np.int32)
+                t = (np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+                empty = status[at] == 2
+                columns = [pa.array(c, pa.int32(), mask=empty) for c in (t, xy[:, 0], xy[:, 1])]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("animal_id").take(pa.array(at)), part.column("seg").take(pa.array(at)), *columns, kinds.take(pa.array(status[at]))], names
+                )
+
+    n = max(segments.sparkSession.sparkContext.defaultParallelism, 1) * 4
+    order = ["width", "height", *field_of.order, F.xxhash64("animal_id", "seg")]
+    return segments.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, WALK)
+
+
 def terrain_bridge(segments: DataFrame, terrain: DataFrame, mapping: dict[int, KernelParams], seed: int = 0, fallback: bool = False) -> DataFrame:
     """``bridge`` through a terrain table ``(x, y, cls)`` of any size: each segment is joined with the cells that its walk can reach.
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,10 @@ def stitch(walk: DataFrame, drop_last: bool = True, append_final: bool = False)
 
 
 class ByGrid:
-    """A field for each size of grid, made once in a worker."""
+    """A field for each size of grid, made once in a worker; it is the same at all points."""
+
+    #: Segments of one start share their layers.
+    order = ("x0", "y0")
 
     def __init__(self, make: Callable[[int, int], Field]):
         self.make, self.fields = make, {}
@@ -64,6 +68,15 @@ class ByGrid:
             self.fields[size] = self.make(*size)
         return self.fields[size]
 
+    def field(self, size: tuple[int, int], first: int, label: int) -> Field:
+        return self({"width": size[0], "height": size[1]})
+
+    def directions(self, size: tuple[int, int], first: int) -> int:
+        return self.field(size, first, first).D
+
+    def labels(self, batch: pa.RecordBatch) -> None:
+        return None
+
     def __getstate__(self) -> dict:
         return {"make": self.make, "fields": {}}
 
