@@ -3,10 +3,15 @@
 import time
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from trailweave.functions.kernels import gaussian
 from trailweave.operators import bridge as B
 from trailweave.operators import walks
+from trailweave.plans import queries as plans
 from trailweave.sources import fixtures as fx
 
 
@@ -23,7 +28,7 @@ def segments(n, width, height, open_, seed=3):
     return start, end, np.maximum(5, far)
 
 
-def drawn(field, start, end, T, repeat=1):
+def drawn(field, start, end, T):
     heads = [repr((0, "a", i))[:-1].encode() for i in range(len(T))]
     size = field.width, field.height
     cells, reached = B.walk_many(B._Tables(walks.ByGrid(lambda width, height: field)), size, field.D, 0, start, end, T, None, heads)
@@ -80,3 +85,54 @@ def test_closed_ends_and_large_grids(spark, monkeypatch):
     bad = spark.createDataFrame([("a", 0, 0, 0, 15, 3, 9, 15, 24)], frame.schema)
     with pytest.raises(Exception, match="outside the grid"):
         B.bridge(bad, field).collect()
+
+
+def test_hours(spark):
+    """Time walks drawn together are those of each segment's own field, whatever hours they share."""
+    mapping, hour = fx.mapping(), 473352
+    weather = {
+        (hour + h, gy, gx): (((h * 7 + gy * 5) % 200) / 10, (h * 29 + gx * 17) % 360, (h * 19 + gx + gy) % 101, 0.5 if (h + gx * gy) % 6 == 0 else 0.0)
+        for h in range(40) for gy in range(5) for gx in range(5)
+    }
+    land = terrain(15, 24)
+    field = walks.ByHour(lambda width, height: land[:height, :width], mapping, weather)
+    start, end, T = segments(24, 15, 24, land != 80)
+    rng = np.random.default_rng(5)
+    first = rng.integers(0, 20 * 3600, 24)
+    rows = [
+        {"animal_id": "a", "seg": i, "x0": int(s % 15), "y0": int(s // 15), "x1": int(e % 15), "y1": int(e // 15), "T": int(t), "width": 15, "height": 24,
+         "ts0": pd.Timestamp((hour * 3600 + int(f)) * 10**9), "ts1": pd.Timestamp((hour * 3600 + int(f) + int(g)) * 10**9)}
+        for i, (s, e, t, f, g) in enumerate(zip(start, end, T, first, rng.integers(60, 15 * 3600, 24), strict=True))
+    ]
+    labels = field.labels(pa.RecordBatch.from_pandas(pd.DataFrame(rows)))
+    assert all(labels[r["seg"], : r["T"]].tolist() == walks.hours_of(r) for r in rows)
+    want = {r["seg"]: B.walk(field(r), (r["x0"], r["y0"]), (r["x1"], r["y1"]), r["T"], (0, "a", r["seg"])) for r in rows}
+    frame = spark.createDataFrame(pd.DataFrame(rows)).withColumns({c: F.col(c).cast("int") for c in ("seg", "x0", "y0", "x1", "y1", "T", "width", "height")})
+    got = B.bridge(frame, field).toPandas().sort_values(["seg", "t"])
+    for seg, part in got.groupby("seg"):
+        path = list(zip(part["x"], part["y"], strict=True)) if (part["status"] == "OK").all() else None
+        assert path == want[seg]
+    assert set(got["seg"]) == set(want) and sum(p is not None for p in want.values()) > 12
+
+
+def test_narrow_kernels():
+    """A move of small weight is possible still: under clear sky and little wind a step has a deviation of a tenth of a cell."""
+    for end in ((6, 8), (2, 8), (8, 8), (2, 16), (1, 9)):
+        for bias in (0, 1):
+            assert B.walk(B.brownian_field(14, 24, 1, gaussian(1, 0.1, bias)), (2, 11), end, 7) is not None
+    (down, across), *more = B._profiles(gaussian(3, 0.3, 1).tobytes(), 7)
+    assert not more and np.allclose(np.outer(down, across), gaussian(3, 0.3, 1), rtol=1e-12, atol=0)
+
+
+def test_time_query_shares_moves():
+    """``bridge_time`` is drawn by tables of an hour, not by a field a segment."""
+    made = {}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(plans, "bridge", lambda segments, field_of: made.setdefault("field", field_of))
+        patch.setattr(plans, "_gridded", lambda *_: None)
+        patch.setattr(plans, "terrain_array", lambda _: terrain(64, 48))
+        patch.setattr(plans.fx, "terrain", lambda _: None)
+        patch.setattr(plans.fx, "weather", lambda _: None)
+        patch.setattr(walks, "weather_table", lambda _: {})
+        plans.bridge_time(None, "")
+    assert isinstance(made["field"], walks.ByHour)

@@ -100,7 +100,13 @@ def _band(profile: np.ndarray, targets: np.ndarray, sources: np.ndarray, bias: i
 @lru_cache(maxsize=512)
 def _profiles(raw: bytes, side: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """A kernel as a sum of products of a column and a row; a Gaussian is one."""
-    u, s, v = np.linalg.svd(np.frombuffer(raw).reshape(side, side))
+    kernel = np.frombuffer(raw).reshape(side, side)
+    y, x = divmod(int(kernel.argmax()), side)
+    down, across = kernel[:, x], kernel[y] / kernel[y, x]
+    # as it is: a decomposition is only as exact as the largest weight, and loses what is small
+    if np.allclose(np.outer(down, across), kernel, rtol=1e-12, atol=0):
+        return [(down, across)]
+    u, s, v = np.linalg.svd(kernel)
     return [(u[:, r] * s[r], v[r]) for r in range(side) if s[r] > 1e-15 * s[0]]
 
 
@@ -536,7 +542,7 @@ def bridge(segments: DataFrame, field_of: Callable[[dict], Field], seed: int = 0
     length gives its point once.  One whose end can't be reached gives a row
     of status UNREACHABLE without a cell, or its two ends if ``fallback``.
     Segments are dealt evenly, since their costs differ widely.  Where
-    ``field_of`` shares its moves between rows (``walks.ByGrid``)
+    ``field_of`` shares its moves between rows (``walks.ByGrid``, ``ByHour``)
     those alike are dealt together and drawn many at a time.
     """
     if hasattr(field_of, "field"):

@@ -81,6 +81,41 @@ class ByGrid:
         return {"make": self.make, "fields": {}}
 
 
+class ByHour:
+    """``weather_field`` of each segment's own hours; the moves of an hour are the same for all segments of a size of grid."""
+
+    #: Segments of one time meet the same hours.
+    order = ("ts0", "ts1")
+
+    def __init__(self, terrain_of: Callable[[int, int], np.ndarray], mapping: dict[int, KernelParams], weather: dict[tuple[int, int, int], tuple]):
+        self.terrain_of, self.mapping, self.weather, self.known = terrain_of, mapping, weather, {}
+
+    def _field(self, size: tuple[int, int], hours: list[int]) -> Field:
+        return weather_field(self.terrain_of(*size), self.mapping, self.weather, hours)
+
+    def __call__(self, row: dict) -> Field:
+        return self._field((int(row["width"]), int(row["height"])), hours_of(row))
+
+    def field(self, size: tuple[int, int], first: int, label: int) -> Field:
+        """The field of two points: the state has the directions of the ``first`` hour, as a walk's has, and moves in the second."""
+        return self._field(size, [first, label])
+
+    def directions(self, size: tuple[int, int], first: int) -> int:
+        if (size, first) not in self.known:
+            self.known[size, first] = self._field(size, [first]).D
+        return self.known[size, first]
+
+    def labels(self, batch: pa.RecordBatch) -> np.ndarray:
+        """``hours_of`` of all rows, ``[segment, t]``; those beyond a segment's points mean nothing."""
+        a, b = (batch.column(c).to_numpy(zero_copy_only=False).astype("datetime64[us]").astype(np.int64) / 1e6 for c in ("ts0", "ts1"))
+        T = batch.column("T").to_numpy(zero_copy_only=False)
+        t = np.arange(max(1, int(T.max())))
+        return ((a[:, None] + (b - a)[:, None] * t / np.maximum(T - 1, 1)[:, None]) // 3600).astype(int)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": {}}
+
+
 def multistep_biased(steps: DataFrame, biases: list[list], width: int, height: int, S: int = 7, kernel: np.ndarray | None = None, append_final: bool = True, seed: int = 0) -> DataFrame:
     """A walk through all steps, each segment with a bias series of its own; a segment has as many points as its series."""
     longest = max(map(len, biases), default=1)
@@ -125,10 +160,10 @@ def weather_field(
         if hour not in made:
             now = [(order[k // (grid * grid)], weather.get((hour, k % (grid * grid) // grid, k % grid))) for k in used.tolist()]
             params = [replace(resolver(mapping[c], v) if v else mapping[c], forbidden=False) for c, v in now]
-            kinds = list(dict.fromkeys(params))
+            kinds = {p: i for i, p in enumerate(dict.fromkeys(params))}
             if len(made) > 4:
                 made.clear()
-            made[hour] = [kernels_of(p) for p in kinds], np.array([kinds.index(p) for p in params])[local]
+            made[hour] = [kernels_of(p) for p in kinds], np.array([kinds[p] for p in params])[local]
         return made[hour]
 
     return Field(w, h, of(0)[0], lambda t: of(t)[1], base.open, still=not full_influence, at=lambda t: of(t)[0])

@@ -447,8 +447,7 @@ def bridge_mixed(spark, sf_dir):
 def bridge_time(spark, sf_dir):
     """Through terrain and hourly weather, each segment over its own time."""
     grid, weather = terrain_array(fx.terrain(spark)), walks.weather_table(fx.weather(spark))
-    field = lambda row: walks.weather_field(_cut(grid, int(row["width"]), int(row["height"])), fx.mapping(), weather, walks.hours_of(row))
-    return bridge(_gridded(spark, sf_dir), field)
+    return bridge(_gridded(spark, sf_dir), walks.ByHour(lambda width, height: _cut(grid, width, height), fx.mapping(), weather))
 
 
 @query("select * from (values ('length', 0::bigint), ('start', 0), ('end', 0), ('step', 0), ('outside', 0)) t(kind, violations)")
