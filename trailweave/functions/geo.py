@@ -95,10 +95,30 @@ def grid_index_loose(east: str, north: str, box: tuple[str, str, str, str], widt
 
 
 def file_name(prefix: str, box: tuple[str, str, str, str]) -> str:
-    """A file's name with a box rounded to a tenth; ``printf`` in both dialects."""
+    """A file's name with a box rounded to a tenth, in SQL; ``file_name_exact`` is Spark's."""
     return f"printf('{prefix}_%s_%.1f_%.1f_%.1f_%.1f', animal_id, {', '.join(box)})"
 
 
+def tenth(x: str) -> str:
+    """A double with one decimal as C prints it, for Spark, whose ``printf`` rounds the shortest decimal that reads as ``x``, and its ties up.
+
+    The double itself is rounded, its ties to even: what ``x`` has beyond
+    whole degrees is an integer in units of 2^-57, down to a 32nd.
+    """
+    whole = f"cast(floor(abs({x})) as bigint)"
+    tens = f"(cast((abs({x}) - floor(abs({x}))) * {2**57}e0 as bigint) * 10)"
+    digit, rest = f"shiftright({tens}, 57)", f"({tens} & {2**57 - 1}L)"
+    up = f"(case when {rest} > {2**56}L or ({rest} = {2**56}L and {digit} % 2 = 1) then 1 else 0 end)"
+    number = f"({whole} * 10 + {digit} + {up})"
+    sign = f"(case when startswith(cast({x} as string), '-') then '-' else '' end)"
+    return f"concat({sign}, cast({number} div 10 as string), '.', cast({number} % 10 as string))"
+
+
+def file_name_exact(prefix: str, box: tuple[str, str, str, str]) -> str:
+    """``file_name`` in Spark, digit by digit as DuckDB's; null without an animal."""
+    return f"concat('{prefix}_', animal_id, {', '.join(f"'_', {tenth(c)}" for c in box)})"
+
+
 def layers_key(D: str, width: str, height: str, T: str, x: str, y: str, terrain: str) -> str:
     """The first eight digits of the SHA-1 of a walk's parameters."""
     return f"substr(sha1(concat_ws('-', {D}, {width}, {height}, {T}, {x}, {y}, {terrain})), 1, 8)"

@@ -589,7 +589,7 @@ def raster_window(spark, sf_dir):
 
 @query(_P + f" select animal_id, {geo.file_name('landcover', ('lon_min', 'lat_min', 'lon_max', 'lat_max'))} as name from p")
 def landcover_names(spark, sf_dir):
-    name = geo.file_name("landcover", ("lon_min", "lat_min", "lon_max", "lat_max"))
+    name = geo.file_name_exact("landcover", ("lon_min", "lat_min", "lon_max", "lat_max"))
     return track.padded_boxes(fx.fixes(spark, sf_dir)).selectExpr("animal_id", f"{name} as name")
 
 
