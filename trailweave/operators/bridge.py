@@ -346,10 +346,14 @@ def walk_many(
         while len(live):
             label = np.zeros(len(live), int) if labels is None else labels[lines[live], t[live]]
             now = int(label.min())
-            which = live[label == now]
-            at = base[lines[which]] + t[which]
-            layers[at] = tables(size, D, first, now).forward(layers[at - 1])
-            t[which] += 1
+            which, table = live[label == now], tables(size, D, first, now)
+            while len(which):
+                at = base[lines[which]] + t[which]
+                layers[at] = table.forward(layers[at - 1])
+                t[which] += 1
+                which = which[t[which] < points[lines[which]]]
+                if labels is not None:
+                    which = which[labels[lines[which], t[which]] == now]
             live = live[t[live] < points[lines[live]]]
         base, t = base[lineage[mine]], T[mine] - 1
         last = layers[(base + t)[:, None], np.arange(D) * cells + end[mine, None]]
@@ -363,11 +367,15 @@ def walk_many(
         while len(live):
             label = np.zeros(len(live), int) if labels is None else labels[mine[live], t[live]]
             now = int(label.max())
-            which = live[label == now]
-            v = uniforms([heads[i] for i in mine[which]], t[which])
-            state[which] = tables(size, D, first, now).back(layers, (base + t)[which] - 1, state[which], v)
-            t[which] -= 1
-            path[mine[which], t[which]] = state[which] % cells
+            which, table = live[label == now], tables(size, D, first, now)
+            while len(which):
+                v = uniforms([heads[i] for i in mine[which]], t[which])
+                state[which] = table.back(layers, base[which] + t[which] - 1, state[which], v)
+                t[which] -= 1
+                path[mine[which], t[which]] = state[which] % cells
+                which = which[(t[which] > 0) & (state[which] >= 0)]
+                if labels is not None:
+                    which = which[labels[mine[which], t[which]] == now]
             live = live[(t[live] > 0) & (state[live] >= 0)]
         reached[mine] = state >= 0
     return path, reached
