@@ -22,6 +22,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ TERRAIN_CELLS = 64_000_000
 TABLE_STATES, MATRIX_STATES = 4096, 724
 #: Bytes of layers, and of tables, that drawing many walks keeps.
 TABLE_MEMORY = 128 << 20
+#: Segments drawn at a time, and the most points that they may have if all were as long as the longest.
+ROWS, POINTS = 20_000, 1 << 20
 
 
 def check_arguments(width: int, height: int, T: int, S: int | None = None, D: int | None = None, cells: tuple = ()) -> None:
@@ -53,11 +56,100 @@ def uniform(*key) -> float:
     return int(hashlib.md5(repr(key).encode()).hexdigest()[:13], 16) / 16**13
 
 
-def uniforms(heads: list[bytes], last) -> np.ndarray:
-    """``uniform(*key, last)`` of many keys, whose texts without the bracket at the end are the ``heads``; ``last`` may be one for each."""
-    tails = [f", {t})".encode() for t in last.tolist()] if isinstance(last, np.ndarray) else [f", {last!r})".encode()] * len(heads)
-    raw = b"".join([hashlib.md5(head + tail).digest() for head, tail in zip(heads, tails, strict=True)])
-    return (np.frombuffer(raw, ">u8")[::2] >> np.uint64(12)).astype(float) / 16**13
+#: Shifts and constants of MD5 (RFC 1321), and which word each of its steps takes.
+_MD5_SHIFT = [r[i % 4] for r in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for i in range(16)]
+_MD5_ADD = [np.uint32(int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+_MD5_WORD = [(i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16 for i in range(64)]
+
+
+def _md5_start(words: np.ndarray) -> np.ndarray:
+    """The first eight bytes of the MD5 of messages of one block, ``[word, message]``, as big-endian numbers."""
+    first = [np.full(words.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (v.copy() for v in first)
+    some, f, g = words.any(1), np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+        a += f
+        a += _MD5_ADD[i]
+        if some[_MD5_WORD[i]]:
+            a += words[_MD5_WORD[i]]
+        np.left_shift(a, np.uint32(_MD5_SHIFT[i]), out=g)
+        a >>= np.uint32(32 - _MD5_SHIFT[i])
+        a |= g
+        a += b
+        a, b, c, d = d, a, b, c
+    high, low = ((v + w).byteswap().astype(np.uint64) for v, w in zip((a, b), first[:2], strict=True))
+    return high << np.uint64(32) | low
+
+
+class _Keys:
+    """Texts of many keys without the bracket at the end, for ``uniform(*key, last)`` of many of them at once."""
+
+    #: Bytes of a block, those of them that a text and what ends it may have, and messages that fit a cache.
+    BLOCK, ROOM, MANY = 64, 56, 8192
+
+    def __init__(self, texts: pa.Array):
+        texts = texts.cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        self.start, self.size = at[:-1], np.diff(at)
+        self.raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        kept = np.minimum(self.size, self.ROOM)
+        self.text = np.zeros((len(texts), self.BLOCK), np.uint8)
+        inside = np.arange(self.BLOCK) < kept[:, None]
+        self.text[inside] = self.raw[at[0] : at[-1]] if (kept == self.size).all() else self.raw[(at[:-1, None] + np.arange(self.BLOCK))[inside]]
+
+    @classmethod
+    def of(cls, seed: int, animal: pa.Array, seg: pa.Array) -> _Keys:
+        """Of ``(seed, animal, seg, last)``."""
+        if pc.all(pc.match_substring_regex(animal, "^[A-Za-z0-9_.: -]*$"), skip_nulls=False).as_py() and not seg.null_count:
+            return cls(pc.binary_join_element_wise(f"({seed!r}, '", animal.cast(pa.string()), "', ", seg.cast(pa.string()), ""))
+        pairs = zip(animal.to_pylist(), seg.to_pylist(), strict=True)
+        return cls(pa.array([repr((seed, a, s))[:-1].encode() for a, s in pairs], pa.large_binary()))
+
+    def take(self, rows: np.ndarray) -> _Keys:
+        out = object.__new__(_Keys)
+        out.raw, out.start, out.size, out.text = self.raw, self.start[rows], self.size[rows], self.text[rows]
+        return out
+
+    def uniforms(self, rows: np.ndarray, last) -> np.ndarray:
+        """``uniform`` of the keys of ``rows``; ``last`` is one for all, or a number for each."""
+        each = isinstance(last, np.ndarray)
+        values, which = np.unique(last, return_inverse=True) if each else ([last], np.zeros(len(rows), int))
+        tails = [f", {v!r})".encode() for v in (values.tolist() if each else values)]
+        width = max(map(len, tails), default=0) + 1
+        ends = np.frombuffer(b"".join((t + b"\x80").ljust(width, b"\0") for t in tails), np.uint8).reshape(-1, width)
+        bits = np.array([8 * len(t) for t in tails])
+        out = np.empty(len(rows), np.uint64)
+        for k in range(0, len(rows), self.MANY):
+            r, e = rows[k : k + self.MANY], which[k : k + self.MANY]
+            size = self.size[r]
+            long = size + width > self.ROOM
+            text, at = self.text[r], np.arange(len(r)) * self.BLOCK + np.where(long, 0, size)
+            flat = text.ravel()
+            for j in range(width):
+                flat[at + j] = ends[e, j] if each else ends[0, j]
+            words = text.view("<u4").T.astype(np.uint32, order="C")
+            words[14] = 8 * size + bits[e]
+            out[k : k + self.MANY] = _md5_start(words)
+            for i in np.flatnonzero(long).tolist():
+                whole = self.raw[self.start[r[i]] :][: size[i]].tobytes() + tails[e[i]]
+                out[k + i] = int.from_bytes(hashlib.md5(whole).digest()[:8], "big")
+        return (out >> np.uint64(12)).astype(float) / 16**13
 
 
 @dataclass
@@ -283,20 +375,44 @@ class _Table:
         total = out.sum(1, keepdims=True)
         return out / np.where(total > 0, total, 1.0)
 
-    def back(self, layers: np.ndarray, row: np.ndarray, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """A predecessor of each state by the layer ``layers[row]`` before it; -1 where there is none."""
+    def back(self, layers: np.ndarray, row: np.ndarray, state: np.ndarray, u: np.ndarray, alike: np.ndarray | None = None) -> np.ndarray:
+        """A predecessor of each state by the layer ``layers[row]`` before it; -1 where there is none.
+
+        ``alike`` gives for each the place of one of the same row and state; they share their sums.
+        """
         out = np.empty(len(state), int)
-        block = max(1, (4 << 20) // (8 * self.weight.shape[1]))
-        for b in range(0, len(state), block):
-            r, s, v = row[b : b + block], state[b : b + block], u[b : b + block]
+        one = np.arange(len(state)) if alike is None else np.flatnonzero(alike == np.arange(len(state)))
+        number = np.empty(len(state), int)
+        number[one] = np.arange(len(one))
+        mine = number if alike is None else number[alike]
+        width = self.weight.shape[1]
+        # one less than a power of two, so that a search by halves stays inside
+        wide = (1 << width.bit_length()) - 1
+        block = max(1, (2 << 20) // (8 * wide))
+        for b in range(0, len(one), block):
+            r, s = row[one[b : b + block]], state[one[b : b + block]]
             p = self.weight[s]
             p *= layers[r][:, self.order] if self.matrix else layers[r[:, None], self.source[s]]
-            total = np.cumsum(p, 1, out=p)[:, -1]
-            k = (p <= (v * total)[:, None]).sum(1)
-            k = np.where(k < p.shape[1], k, (p < total[:, None]).sum(1))
-            k = np.minimum(k, p.shape[1] - 1)
-            found = self.order[k] if self.matrix else self.source[s, k]
-            out[b : b + block] = np.where(total > 0, found, -1)
+            sums = np.full((len(s), wide), np.inf)
+            np.cumsum(p, 1, out=sums[:, :width])
+            flat, total = sums.ravel(), sums[:, width - 1].copy()
+            if len(one) <= block:
+                which, m, v, of = slice(None), mine, u, state
+            else:
+                which = np.flatnonzero((mine >= b) & (mine < b + block))
+                m, v, of = mine[which] - b, u[which], state[which]
+            full = total[m]
+            # how many sums are not above it
+            v, k, at = v * full, np.zeros(len(m), int), m * wide - 1
+            step = (wide + 1) >> 1
+            while step:
+                k += step * (flat[at + (k + step)] <= v)
+                step >>= 1
+            beyond = np.flatnonzero(k >= width)
+            if len(beyond):
+                k[beyond] = np.minimum((sums[m[beyond], :width] < full[beyond, None]).sum(1), width - 1)
+            found = self.order[k] if self.matrix else self.source[of, k]
+            out[which] = np.where(full > 0, found, -1)
         return out
 
 
@@ -318,14 +434,16 @@ class _Tables:
 
 
 def walk_many(
-    tables: _Tables, size: tuple[int, int], D: int, first, start: np.ndarray, end: np.ndarray, T: np.ndarray, labels: np.ndarray | None, heads: list[bytes],
-    end_direction: int | None = None,
+    tables: _Tables, size: tuple[int, int], D: int, first, start: np.ndarray, end: np.ndarray, T: np.ndarray, labels: np.ndarray | None,
+    heads: _Keys | list[bytes], end_direction: int | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """``walk`` for many segments of one grid, from cell to cell ``y * width + x``: ``[segment, t]`` cells, and whether each end was reached.
 
     ``labels[segment, t]`` name the moves to point ``t``; without them all
     points have the same, and segments of one start share their layers.
+    ``heads`` are the texts of the segments' keys without the bracket at the end.
     """
+    keys = heads if isinstance(heads, _Keys) else _Keys(pa.array(heads, pa.large_binary()))
     cells = size[0] * size[1]
     n, N = D * cells, len(T)
     path = np.full((N, int(T.max())), -1, np.int32)
@@ -336,6 +454,9 @@ def walk_many(
     piece = (np.cumsum(points) - 1) // max(1, TABLE_MEMORY // (8 * n))
     for one in np.unique(piece).tolist():
         lines, mine = np.flatnonzero(piece == one), np.flatnonzero(piece[lineage] == one)
+        if labels is None:
+            # those with a move to a point come first
+            mine = mine[np.argsort(-T[mine], kind="stable")]
         base = np.zeros(len(line), int)
         base[lines] = np.cumsum(points[lines]) - points[lines]
         layers = np.zeros((int(points[lines].sum()), n))
@@ -357,30 +478,56 @@ def walk_many(
             live = live[t[live] < points[lines[live]]]
         base, t = base[lineage[mine]], T[mine] - 1
         last = layers[(base + t)[:, None], np.arange(D) * cells + end[mine, None]]
-        u = uniforms([heads[i] for i in mine], "d") if D > 1 else np.zeros(len(mine))
+        u = keys.uniforms(mine, "d") if D > 1 else np.zeros(len(mine))
         d = np.minimum((np.cumsum(last, 1) <= (u * last.sum(1))[:, None]).sum(1), D - 1)
         if end_direction is not None:
             d = np.where(last[:, end_direction % D] > 0, end_direction % D, d)
         state = np.where(last.sum(1) > 0, d * cells + end[mine], -1)
         path[mine, t] = end[mine]
+        if labels is None:
+            _back_alike(tables, size, D, first, layers, base, lineage[mine] - lines[0], len(lines), t, state, keys, mine, path)
+            reached[mine] = state >= 0
+            continue
         live = np.flatnonzero((state >= 0) & (t > 0))
         while len(live):
-            label = np.zeros(len(live), int) if labels is None else labels[mine[live], t[live]]
+            label = labels[mine[live], t[live]]
             now = int(label.max())
             which, table = live[label == now], tables(size, D, first, now)
             while len(which):
-                v = uniforms([heads[i] for i in mine[which]], t[which])
+                v = keys.uniforms(mine[which], t[which])
                 state[which] = table.back(layers, base[which] + t[which] - 1, state[which], v)
                 t[which] -= 1
                 path[mine[which], t[which]] = state[which] % cells
                 which = which[(t[which] > 0) & (state[which] >= 0)]
-                if labels is not None:
-                    which = which[labels[mine[which], t[which]] == now]
+                which = which[labels[mine[which], t[which]] == now]
             live = live[(t[live] > 0) & (state[live] >= 0)]
         reached[mine] = state >= 0
     return path, reached
 
 
+def _back_alike(
+    tables: _Tables, size: tuple[int, int], D: int, first, layers: np.ndarray, base: np.ndarray, line: np.ndarray, lines: int, last: np.ndarray,
+    state: np.ndarray, keys: _Keys, mine: np.ndarray, path: np.ndarray,
+) -> None:
+    """The way back of walks ``mine`` by one table, longest first and point by point, so that those of one start meet; ``state`` and ``path`` are filled."""
+    cells, n = size[0] * size[1], D * size[0] * size[1]
+    by = np.full((int(last[0]), len(mine)), -1, np.int32)
+    place = np.empty(lines * n, int)
+    for t in range(int(last[0]), 0, -1):
+        which = np.arange(np.searchsorted(-last, -t, "right"))
+        if (state[which] < 0).any():
+            which = which[state[which] >= 0]
+        code = line[which] * n + state[which]
+        # any of those alike stands for all
+        place[code] = np.arange(len(which))
+        state[which] = tables(size, D, first, 0).back(layers, base[which] + t - 1, state[which], keys.uniforms(mine[which], t), place[code])
+        by[t - 1, which] = np.where(state[which] >= 0, state[which] % cells, -1)
+    inside = np.arange(len(by)) < last[:, None]
+    rows = path[mine]
+    rows[:, : len(by)][inside] = by.T[inside]
+    path[mine] = rows
+
+
 def _box(field: Field, start: tuple[int, int], end: tuple[int, int], T: int) -> tuple[int, int, int, int]:
     reach = 0
     for t in range(1, T) if not field.still else (1,):
@@ -584,71 +731,104 @@ def bridge(segments: DataFrame, field_of: Callable[[dict], Field], seed: int = 0
 def _bridge_shared(segments: DataFrame, field_of, seed: int, fallback: bool, end_direction: int | None) -> DataFrame:
     """``bridge`` with a ``field_of`` whose rows of one ``width, height`` move by the same tables."""
 
-    def paths(batch: pa.RecordBatch, tables: _Tables) -> list[np.ndarray | None]:
-        """Each row's cells ``(x, y)``; None where the end can't be reached."""
+    def paths(batch: pa.RecordBatch, tables: _Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many points each row has (0: the end can't be reached), and the cells ``x`` and ``y`` of all points, row by row."""
         names = ["width", "height", "x0", "y0", "x1", "y1", "T"]
         width, height, x0, y0, x1, y1, T = (batch.column(c).to_numpy(zero_copy_only=False).astype(int) for c in names)
-        out: list[np.ndarray | None] = [None] * batch.num_rows
         still = (x0 == x1) & (y0 == y1) & (T <= 1)
-        for i in np.flatnonzero(still):
-            out[i] = np.array([[x0[i], y0[i]]])
+        count, found = still.astype(int), []
         bad = ~still & ((T <= 0) | (np.minimum(np.minimum(x0, x1), np.minimum(y0, y1)) < 0) | (np.maximum(x0, x1) >= width) | (np.maximum(y0, y1) >= height))
         for i in np.flatnonzero(bad):
             check_arguments(int(width[i]), int(height[i]), int(T[i]), cells=((x0[i], y0[i]), (x1[i], y1[i])))
         move = np.flatnonzero(~still & (T > 1))
         labels = field_of.labels(batch)
         first = np.zeros(len(T), int) if labels is None else labels[:, 0]
-        heads = [repr((seed, a, s))[:-1].encode() for a, s in zip(batch.column("animal_id").to_pylist(), batch.column("seg").to_pylist(), strict=True)]
+        keys = _Keys.of(seed, batch.column("animal_id"), batch.column("seg"))
+        kind = pd.factorize(width[move] << 32 | height[move])[0]
+        kind = pd.factorize(kind << 40 | (first[move] - first.min(initial=0)))[0]
         kinds: dict[tuple, list[int]] = {}
-        for i in move.tolist():
+        for k, i in enumerate(move[np.unique(kind, return_index=True)[1]].tolist()):
             size = int(width[i]), int(height[i])
-            kinds.setdefault((size, field_of.directions(size, int(first[i]))), []).append(i)
-        for (size, D), rows in kinds.items():
+            kinds.setdefault((size, field_of.directions(size, int(first[i]))), []).append(k)
+        for (size, D), some in kinds.items():
+            rows = move[np.isin(kind, some)]
             if D * size[0] * size[1] > TABLE_STATES:
                 table = batch.take(pa.array(rows)).to_pandas().to_dict("records")
-                for i, r in zip(rows, table, strict=True):
+                for i, r in zip(rows.tolist(), table, strict=True):
                     path = walk(field_of(r), (int(x0[i]), int(y0[i])), (int(x1[i]), int(y1[i])), int(T[i]), (seed, r["animal_id"], int(r["seg"])), end_direction)
-                    out[i] = None if path is None else np.array(path)
+                    if path is not None:
+                        count[i] = len(path)
+                        found.append((np.array([i]), np.array([[x + y * size[0] for x, y in path]]), size[0]))
                 continue
-            i, one = np.array(rows), int(first[rows[0]])
+            one = int(first[rows[0]])
             is_open = field_of.field(size, one, one).open
             if is_open is not None:
-                i = i[is_open[y0[i], x0[i]] & is_open[y1[i], x1[i]]]
-            if not len(i):
+                rows = rows[is_open[y0[rows], x0[rows]] & is_open[y1[rows], x1[rows]]]
+            if not len(rows):
                 continue
-            part = None if labels is None else labels[i]
-            cells, reached = walk_many(tables, size, D, one, y0[i] * size[0] + x0[i], y1[i] * size[0] + x1[i], T[i], part, [heads[k] for k in i], end_direction)
-            for k, c, ok in zip(i.tolist(), cells, reached.tolist(), strict=True):
-                if ok:
-                    c = c[: T[k]]
-                    out[k] = np.stack([c % size[0], c // size[0]], 1)
-        return out
+            part = None if labels is None else labels[rows]
+            start, end = y0[rows] * size[0] + x0[rows], y1[rows] * size[0] + x1[rows]
+            cells, reached = walk_many(tables, size, D, one, start, end, T[rows], part, keys.take(rows), end_direction)
+            count[rows[reached]] = T[rows[reached]]
+            found.append((rows[reached], cells[reached], size[0]))
+        place = np.cumsum(count) - count
+        x, y = (np.empty(int(count.sum()), np.int32) for _ in "xy")
+        x[place[still]], y[place[still]] = x0[still], y0[still]
+        for rows, cells, wide in found:
+            t = np.arange(cells.shape[1])
+            inside = t < count[rows, None]
+            at, cells = (place[rows, None] + t)[inside], cells[inside]
+            x[at], y[at] = cells % wide, cells // wide
+        return count, x, y
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows enough to share layers, as few as ``POINTS`` allows where walks are long."""
+        kept: list[pa.RecordBatch] = []
+
+        def cut(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            n = part.num_rows
+            if n > 1 and n * (pc.max(part.column("T")).as_py() or 1) > POINTS:
+                yield from cut(part.slice(0, n // 2))
+                yield from cut(part.slice(n // 2))
+            elif n:
+                yield part
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _Tables(field_of)
-        names, kinds = ["animal_id", "seg", "t", "x", "y", "status"], pa.array([OK, FALLBACK, UNREACHABLE])
         for batch in batches:
-            for start in range(0, batch.num_rows, 5000):
-                part = batch.slice(start, 5000)
-                found = paths(part, tables)
-                status = np.array([0 if p is not None else 1 if fallback else 2 for p in found])
-                if fallback and status.any():
-                    x0, y0, x1, y1 = (part.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))
-                    found = [p if p is not None else np.array(straight_line((x0[i], y0[i]), (x1[i], y1[i]))) for i, p in enumerate(found)]
-                none = np.zeros((1, 2), int)
-                size = np.array([1 if p is None else len(p) for p in found])
-                at = np.repeat(np.arange(len(found)), size)
-                xy = np.concatenate([none if p is None else p for p in found]).astype(np.int32)
-                t = (np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                empty = status[at] == 2
-                columns = [pa.array(c, pa.int32(), mask=empty) for c in (t, xy[:, 0], xy[:, 1])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("animal_id").take(pa.array(at)), part.column("seg").take(pa.array(at)), *columns, kinds.take(pa.array(status[at]))], names
-                )
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= ROWS:
+                yield from cut(pa.concat_batches(kept))
+                kept = []
+        if kept:
+            yield from cut(pa.concat_batches(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, kinds = _Tables(field_of), pa.array([OK, FALLBACK, UNREACHABLE])
+        for part in pieces(batches):
+            count, x, y = paths(part, tables)
+            status = np.where(count > 0, 0, 1 if fallback else 2)
+            if fallback and status.any():
+                lost = np.flatnonzero(status)
+                at = np.repeat((np.cumsum(count) - count)[lost], 2)
+                ends = (np.stack([part.column(f"{c}{k}").to_numpy(zero_copy_only=False)[lost] for k in "01"], 1).ravel() for c in "xy")
+                x, y = (np.insert(v, at, e) for v, e in zip((x, y), ends, strict=True))
+                count[lost] = 2
+            cells = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(x.astype(np.int64) << 32 | y))
+            columns = [part.column("animal_id"), part.column("seg"), kinds.take(pa.array(status)), cells]
+            yield pa.RecordBatch.from_arrays(columns, ["animal_id", "seg", "status", "cells"])
 
     n = max(segments.sparkSession.sparkContext.defaultParallelism, 1) * 4
-    order = ["width", "height", *field_of.order, F.xxhash64("animal_id", "seg")]
-    return segments.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, WALK)
+    each = F.xxhash64("animal_id", "seg")
+    order = ["width", "height", *field_of.order, each]
+    if field_of.scattered:
+        # one number to sample and to sort by: those of one start stand together, in no order otherwise
+        start = F.hash("width", "height", *field_of.order).cast("long")
+        order = [F.shiftleft(start, 32).bitwiseOR(F.shiftrightunsigned(each, 32))]
+    # what a walk needs is dealt, no more
+    segments = segments.select(*dict.fromkeys(["animal_id", "seg", "x0", "y0", "x1", "y1", "T", "width", "height", *field_of.order]))
+    walks = segments.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, "animal_id string, seg int, status string, cells array<bigint>")
+    # a row of status UNREACHABLE has no cells and stays
+    points = walks.select("animal_id", "seg", F.posexplode_outer("cells").alias("t", "cell"), "status")
+    return points.select("animal_id", "seg", "t", F.shiftright("cell", 32).cast("int").alias("x"), F.expr("cast(cell & 4294967295 as int)").alias("y"), "status")
 
 
 def terrain_bridge(segments: DataFrame, terrain: DataFrame, mapping: dict[int, KernelParams], seed: int = 0, fallback: bool = False) -> DataFrame:

@@ -136,16 +136,20 @@ def to_degrees(cells: DataFrame, dims: DataFrame) -> DataFrame:
     return joined.selectExpr(*cells.columns, "epsg", f"{east} as __east", f"{north} as __north").selectExpr(*cells.columns, f"{lon} as lon", f"{lat} as lat")
 
 
-def segments(cells: DataFrame, least_steps: int = 2) -> DataFrame:
-    """Each fix with the next: ``seg, x0, y0, x1, y1, T, ts0, ts1``; a pair in one cell has T 1."""
+def segments(cells: DataFrame, least_steps: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each fix with the next: ``seg, x0, y0, x1, y1, T, ts0, ts1`` and the first fix's columns ``keep``; a pair in one cell has T 1."""
     w = Window.partitionBy("animal_id").orderBy("ts", "event_id")
-    n = F.count("*").over(Window.partitionBy("animal_id"))
     rows = cells.select(
         "animal_id", (F.row_number().over(w) - 1).cast("int").alias("seg"), F.col("x").alias("x0"), F.col("y").alias("y0"),
-        F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.col("ts").alias("ts0"), F.lead("ts").over(w).alias("ts1"), n.alias("__n"),
+        F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"), F.col("ts").alias("ts0"), F.lead("ts").over(w).alias("ts1"), *keep,
+        # a fix with a next one is one of two
+        *([F.count("*").over(Window.partitionBy("animal_id")).alias("__n")] if least_steps > 2 else []),
     )
+    rows = rows.where("x1 is not null")
+    rows = rows.where(F.col("__n") >= least_steps).drop("__n") if least_steps > 2 else rows
     budget = F.expr(f"cast(case when x0 = x1 and y0 = y1 then 1 else {geo.budget('x0', 'y0', 'x1', 'y1')} end as int)")
-    return rows.where((F.col("__n") >= least_steps) & F.col("x1").isNotNull()).drop("__n").withColumn("T", budget)
+    first = ["animal_id", "seg", "x0", "y0", "x1", "y1", "ts0", "ts1"]
+    return rows.select(*first, budget.alias("T"), *keep)
 
 
 def regular(track: DataFrame, values: list[str], minutes: int, keys: tuple[str, ...] = ("animal_id",)) -> DataFrame:

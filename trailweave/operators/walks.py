@@ -56,8 +56,8 @@ def stitch(walk: DataFrame, drop_last: bool = True, append_final: bool = False)
 class ByGrid:
     """A field for each size of grid, made once in a worker; it is the same at all points."""
 
-    #: Segments of one start share their layers.
-    order = ("x0", "y0")
+    #: Segments of one start share their layers; which starts are neighbours doesn't matter.
+    order, scattered = ("x0", "y0"), True
 
     def __init__(self, make: Callable[[int, int], Field]):
         self.make, self.fields = make, {}
@@ -84,8 +84,8 @@ class ByGrid:
 class ByHour:
     """``weather_field`` of each segment's own hours; the moves of an hour are the same for all segments of a size of grid."""
 
-    #: Segments of one time meet the same hours.
-    order = ("ts0", "ts1")
+    #: Segments of one time meet the same hours, and those near in time some of them.
+    order, scattered = ("ts0", "ts1"), False
 
     def __init__(self, terrain_of: Callable[[int, int], np.ndarray], mapping: dict[int, KernelParams], weather: dict[tuple[int, int, int], tuple]):
         self.terrain_of, self.mapping, self.weather, self.known = terrain_of, mapping, weather, {}

@@ -414,7 +414,7 @@ def bridge_brownian(spark, sf_dir):
 
 def _gridded(spark, sf_dir):
     """All segments with the size of their animal's grid."""
-    return _segments(spark, sf_dir).join(_dims(spark, sf_dir).select("animal_id", "width", "height"), "animal_id")
+    return track.segments(_cells(spark, sf_dir), keep=("width", "height"))
 
 
 def _cut(terrain, width, height):
