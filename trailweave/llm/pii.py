@@ -300,7 +300,12 @@ def redact(text: str, spans: str) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with every span of its texts redacted; rows of a null id lose their base spans only."""
+    """``docs`` with every span of its texts redacted; rows of a null id lose their base spans only.
+
+    The rows to redact go through a shuffle first, however few there are: a
+    task that picks and redacts holds two Python workers at once, and a busy
+    executor keeps them, each with what later operators keep in a worker.
+    """
     found = find(docs, id_col, text_col, alpha, support)
     wanted = found.where("spans != '' and id is not null").groupBy("id", "th").agg(F.min("spans").alias("spans"))
     wanted = materialise(wanted, "spans")
@@ -316,10 +321,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
         return pd.Series([t if t is None else redact(t, joined(base_spans(t))) for t in texts], dtype=object)
 
     redacted, base = F.pandas_udf(at_spans, "string"), F.pandas_udf(at_base, "string")
-    rows = near.join(named, (keys[0] == F.col(key)) & (keys[1] == F.col(hashed)), "left")
+    rows = near.join(named.hint("shuffle_hash"), (keys[0] == F.col(key)) & (keys[1] == F.col(hashed)), "left")
     clean = F.when(F.col(marks).isNull(), F.col(text_col)).otherwise(redacted(F.col(text_col), F.coalesce(marks, F.lit(""))))
     changed = rows.withColumn(text_col, clean)
-    alone = far.where(F.col(id_col).isNull()).withColumn(text_col, base(F.col(text_col)))
+    alone = docs.where(F.col(id_col).isNull()).withColumn(text_col, base(F.col(text_col)))
     return changed.select(*docs.columns).unionByName(far.where(F.col(id_col).isNotNull())).unionByName(alone.select(*docs.columns))
 
 
